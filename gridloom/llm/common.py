@@ -173,3 +173,18 @@ def held_out(doc_id="doc_id"):
 
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
+
+
+def quoted(names) -> list:
+    return [F.col(f"`{n}`") for n in names]
+
+
+def others(df: DataFrame, added) -> list[str]:
+    """Names of the columns that a result keeps: those that no added column replaces."""
+    low = {a.lower() for a in added}
+    return [n for n in df.columns if n.lower() not in low]
+
+
+def tuned(spark: SparkSession) -> None:
+    """Smaller Arrow batches than the default, since rows hold whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

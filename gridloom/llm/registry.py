@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from gridloom.llm import url_filter
+from gridloom.llm import decontamination, simhash, url_filter
 
 MODULES = {
+    "op6_simhash": simhash,
+    "op8_decontamination": decontamination,
     "op9_url_filter": url_filter,
 }
 
