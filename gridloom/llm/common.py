@@ -58,13 +58,16 @@ def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES):
-    """Record batches cut so that `column` holds about `limit` bytes, or one long row, in each."""
+def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES, row: int = 64):
+    """Record batches cut so that `column` holds about `limit` bytes, or one long row, in each.
+
+    Every row counts as `row` bytes more, for what is made of it besides its text.
+    """
     for batch in batches:
         if not batch.num_rows:
             continue
         at = batch.schema.get_field_index(column)
-        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + row)
         start = 0
         while start < batch.num_rows:
             done = size[start - 1] if start else 0

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from gridloom.llm import decontamination, simhash, url_filter
+from gridloom.llm import chat, decontamination, language, licenses, packing, quality, quality_rules, simhash, substrings, url_filter
 
 MODULES = {
+    "op1_substring_dedup": substrings,
+    "op2_license_scan": licenses,
+    "op3_chat_format": chat,
+    "op4_quality_rules": quality_rules,
+    "op5_language_id": language,
     "op6_simhash": simhash,
+    "op7_quality_classifier": quality,
     "op8_decontamination": decontamination,
     "op9_url_filter": url_filter,
+    "op10_packing": packing,
 }
 
 
