@@ -136,25 +136,29 @@ def divergences(found: DataFrame, known: dict[str, tuple[list[float], dict[str,
     return out
 
 
-def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least_words: int = 50, most_class: float = 0.2, most_common: float = 0.45) -> DataFrame:
-    """Features with `base_failed`, the nearest language's `reference`, `class_distance`, `common_distance`, `kept`."""
+def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", least_words: int = 100, most_class: float = 0.25, most_common: float = 0.1, noise: float = 2.8) -> DataFrame:
+    """Features with `base_failed`, the nearest language's `reference`, `class_distance`, `common_distance`, `kept`.
+
+    Few words give a ragged histogram, so the common words' limit is `most_common + noise / sqrt(n_words)`.
+    """
     found = saved(features(docs, id, text, lang))
     known = references(found)
     judged = found.withColumn("base_failed", base_failed())
+    limit = F.lit(most_common) + noise / F.sqrt(F.greatest(F.col("n_words"), F.lit(1)).cast("double"))
     if not known:
         none = F.lit(None)
         judged = judged.select("*", none.cast("string").alias("reference"), none.cast("double").alias("class_distance"), none.cast("double").alias("common_distance"), (~F.col("base_failed")).alias("kept"))
     else:
-        each = [F.struct((c / most_class + w / most_common).alias("sum"), F.lit(name).alias("name"), c.alias("c"), w.alias("w")) for name, c, w in divergences(found, known)]
+        each = [F.struct((c / most_class + w / limit).alias("sum"), F.lit(name).alias("name"), c.alias("c"), w.alias("w")) for name, c, w in divergences(found, known)]
         judged = judged.withColumn("near", F.array_min(F.array(*each)))
         near = F.col("near")
         guard = F.col("n_words") < least_words
         judged = judged.select("*", near["name"].alias("reference"), near["c"].alias("class_distance"), near["w"].alias("common_distance")).drop("near")
-        judged = judged.withColumn("kept", ~F.col("base_failed") & (guard | ((F.col("class_distance") <= most_class) & (F.col("common_distance") <= most_common))))
+        judged = judged.withColumn("kept", ~F.col("base_failed") & (guard | ((F.col("class_distance") <= most_class) & (F.col("common_distance") <= limit))))
     return judged.withColumnRenamed("id", id)
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(docs, least_words=100)
+    out = judge(docs)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")

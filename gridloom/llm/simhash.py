@@ -17,6 +17,7 @@ one node. A null id takes part but never names a component: one of null ids alon
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -62,21 +63,22 @@ def majority(hashes: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """`(id, fp0, fp1, ...)`: 64 bits for each lane. Lane 0 is XXH64's; others rehash the same shingle hashes."""
+    """`(id, text_key, fp0, fp1, ...)`: a hash that tells texts of one id apart, and 64 bits for each lane. Lane 0 is XXH64's; others rehash the same shingle hashes."""
 
     def make(batches):
         from gridloom.llm.common import mix64
 
         for part in chunks(batches, "text"):
             hashes, document = shingle_hashes(Words(texts(part), lower=True), shingle)
-            columns = [part.column(0)]
+            columns = [part.column(0), part.column(2)]
             for lane in range(lanes):
                 h = hashes if not lane else mix64(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
                 columns.append(pa.array(majority(h, document, part.num_rows).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, ["id", *(f"fp{i}" for i in range(lanes))])
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", *(f"fp{i}" for i in range(lanes))])
 
-    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return rows.mapInArrow(make, "id long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    return rows.mapInArrow(make, "id long, text_key long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
 
 
 def pigeonhole_masks(distance: int, blocks: int) -> list[tuple[int, int]]:
@@ -149,7 +151,8 @@ def linked(distinct: DataFrame, masks: list[tuple[int, int]], distance: int, lan
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 7, lanes: int = 1, masks: list[tuple[int, int]] | None = None) -> DataFrame:
-    """One row `(id, fp0.., component)` per input row; `component` is the smallest id that links reach.
+    """One row `(id, text_key, fp0.., component, group)` per input row; `component` is the smallest id that
+    links reach, and `group` the same or, of null ids alone, a number of its own.
 
     With `lanes` of 64 bits each, `distance` is over all lanes and `masks` names the bits of each join key;
     the default masks are the pigeonhole's, for one lane.
@@ -161,10 +164,34 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     distinct = saved(rows.groupBy(*fps).agg(F.min("id").alias("id")).select(F.coalesce("id", nameless).alias("node"), *fps))
     roots = components(linked(distinct, masks, distance, lanes)).withColumnRenamed("node", "_node")
     named = distinct.join(roots, F.col("node") == F.col("_node"), "left").select(*fps, F.coalesce("root", "node").alias("root"))
-    merged = rows.join(named, fps).select(F.col("id"), *fps, F.when(F.col("root") < NAMELESS, F.col("root")).alias("component"))
+    merged = rows.join(named, fps).select("id", "text_key", *fps, F.when(F.col("root") < NAMELESS, F.col("root")).alias("component"), F.col("root").alias("group"))
     return merged.withColumnRenamed("id", id)
 
 
+def sampled_masks(lanes: int, each: int, bits: int, seed: int = 7) -> list[tuple[int, int]]:
+    """`each` choices of `bits` bits in every lane, for similarities at which no whole block need agree.
+
+    A pair whose bits differ with chance p agrees on a choice with chance (1 - p) ** bits, so it is missed
+    with chance (1 - (1 - p) ** bits) ** (lanes * each). `bits` should grow with log2 of the number of texts.
+    """
+    rng = random.Random(seed)
+    return [(lane, sum(1 << b for b in rng.sample(range(64), bits))) for lane in range(lanes) for _ in range(each)]
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, each: int = 16, bits: int = 20, share: float = 0.165) -> DataFrame:
+    """Documents of which one of each group of near copies stays: the one with the smallest id.
+
+    With 256 bits, texts whose sets of 5-word shingles have a similarity of 0.8 differ in about 15 percent
+    of them; those within `share` are linked. Null ids stay only where a group has no other.
+    """
+    found = near_duplicates(docs, id, text, shingle, int(share * 64 * lanes), lanes=lanes, masks=sampled_masks(lanes, each, bits))
+    first = F.min(F.struct(F.col(f"`{id}`").isNull().alias("none"), F.col(f"`{id}`").alias("id"), F.col("text_key")))
+    kept = found.groupBy("group").agg(first.alias("own")).select(F.col("own.id").alias("_id"), F.col("own.text_key").alias("_key")).distinct()
+    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text}`").cast("string")))
+    stays = keyed.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    return stays.dropDuplicates([id, "_text_key"]).drop("_text_key")
+
+
 def query(spark, sf_dir):
     tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
