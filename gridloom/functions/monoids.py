@@ -20,22 +20,37 @@ def _minimum(a: Column, b: Column, dtype: str) -> Column:
     return F.when(F.isnan(a) | F.isnan(b), F.lit(float("nan"))).otherwise(F.least(a, b))
 
 
-def _min_agg(v: Column, dtype: str) -> Column:
+Over = Callable[[Column], Column]
+
+
+def plain(c: Column) -> Column:
+    return c
+
+
+def _min_agg(v: Column, dtype: str, over: Over) -> Column:
     # Spark's min ignores NaN, which sorts last; a minimum with NaN is NaN
-    return F.when(F.bool_or(F.isnan(v)), F.lit(float("nan"))).otherwise(F.min(v)) if dtype in FLOATS else F.min(v)
+    least = over(F.min(v))
+    return F.when(over(F.bool_or(F.isnan(v))), F.lit(float("nan"))).otherwise(least) if dtype in FLOATS else least
 
 
 @dataclass(frozen=True)
 class Monoid:
-    """`combine(a, b, dtype)` on Columns. `agg(v, dtype)` is a native aggregate (also over a window) or None."""
+    """`combine(a, b, dtype)` on Columns.
+
+    `total(v, dtype, over)` is a native aggregate or None; `over` is applied to each aggregate function in it,
+    so that the same definition serves group-bys and windows.
+    """
 
     name: str
     neutral: Callable[[str], Any]
     combine: Callable[[Column, Column, str], Column]
-    agg: Callable[[Column, str], Column | None]
+    agg: Callable[[Column, str, Over], Column | None]
+
+    def total(self, v: Column, dtype: str, over: Over = plain) -> Column | None:
+        return self.agg(v, dtype, over)
 
-    def total(self, v: Column, dtype: str) -> Column | None:
-        return self.agg(v, dtype)
+    def native(self, dtype: str) -> bool:
+        return self.total(F.lit(0), dtype) is not None
 
 
 def _top(dtype: str):
@@ -46,10 +61,10 @@ def _bottom(dtype: str):
     return -INF if dtype in FLOATS else limits(dtype)[0]
 
 
-def _sum_agg(v: Column, dtype: str) -> Column | None:
+def _sum_agg(v: Column, dtype: str, over: Over) -> Column | None:
     if dtype == "complex128":
-        return F.struct(F.sum(v["re"]).alias("re"), F.sum(v["im"]).alias("im"))
-    return F.sum(v.cast("int") if dtype == "bool" else v)
+        return F.struct(over(F.sum(v["re"])).alias("re"), over(F.sum(v["im"])).alias("im"))
+    return over(F.sum(v.cast("int") if dtype == "bool" else v))
 
 
 def _add(a: Column, b: Column, dtype: str) -> Column:
@@ -58,26 +73,26 @@ def _add(a: Column, b: Column, dtype: str) -> Column:
     return a + b
 
 
-def _product_agg(v: Column, dtype: str) -> Column | None:
-    return F.product(v) if dtype in FLOATS else None  # Spark's product is a double, so not exact for integers
+def _product_agg(v: Column, dtype: str, over: Over) -> Column | None:
+    return over(F.product(v)) if dtype in FLOATS else None  # Spark's product is a double, so not exact for integers
 
 
 REGISTRY: dict[str, Monoid] = {
     "+": Monoid("+", lambda d: 0, _add, _sum_agg),
     "*": Monoid("*", lambda d: 1, lambda a, b, d: a * b, _product_agg),
     "min": Monoid("min", _top, _minimum, _min_agg),
-    "max": Monoid("max", _bottom, lambda a, b, d: F.greatest(a, b), lambda v, d: F.max(v)),
-    "|": Monoid("|", lambda d: 0, lambda a, b, d: a.bitwiseOR(b), lambda v, d: F.bit_or(v)),
-    "&": Monoid("&", lambda d: limits(d)[1] if d.startswith("u") else -1, lambda a, b, d: a.bitwiseAND(b), lambda v, d: F.bit_and(v)),
-    "xor": Monoid("xor", lambda d: 0, lambda a, b, d: a.bitwiseXOR(b), lambda v, d: F.bit_xor(v)),
-    "any": Monoid("any", lambda d: False, lambda a, b, d: a | b, lambda v, d: F.bool_or(v)),
-    "all": Monoid("all", lambda d: True, lambda a, b, d: a & b, lambda v, d: F.bool_and(v)),
+    "max": Monoid("max", _bottom, lambda a, b, d: F.greatest(a, b), lambda v, d, over: over(F.max(v))),
+    "|": Monoid("|", lambda d: 0, lambda a, b, d: a.bitwiseOR(b), lambda v, d, over: over(F.bit_or(v))),
+    "&": Monoid("&", lambda d: limits(d)[1] if d.startswith("u") else -1, lambda a, b, d: a.bitwiseAND(b), lambda v, d, over: over(F.bit_and(v))),
+    "xor": Monoid("xor", lambda d: 0, lambda a, b, d: a.bitwiseXOR(b), lambda v, d, over: over(F.bit_xor(v))),
+    "any": Monoid("any", lambda d: False, lambda a, b, d: a | b, lambda v, d, over: over(F.bool_or(v))),
+    "all": Monoid("all", lambda d: True, lambda a, b, d: a & b, lambda v, d, over: over(F.bool_and(v))),
 }
 REGISTRY["extrema"] = Monoid(
     "extrema",
     lambda d: F.struct(literal(_top(d), d).alias("min"), literal(_bottom(d), d).alias("max")),
     lambda a, b, d: F.struct(_minimum(a["min"], b["min"], d).alias("min"), F.greatest(a["max"], b["max"]).alias("max")),
-    lambda v, d: F.struct(_min_agg(v, d).alias("min"), F.max(v).alias("max")),
+    lambda v, d, over: F.struct(_min_agg(v, d, over).alias("min"), over(F.max(v)).alias("max")),
 )
 ALIASES = {"add": "+", "sum": "+", "mul": "*", "prod": "*", "minimum": "min", "maximum": "max", "or": "|", "and": "&", "⊻": "xor", "^": "xor"}
 
@@ -96,12 +111,14 @@ def monoid(op: Op, neutral: Any = None) -> Monoid:
         return known if neutral is None else Monoid(known.name, lambda d: neutral, known.combine, known.agg)
     if neutral is None:
         raise ValueError("the neutral element of this operation isn't known; give neutral=")
-    return Monoid("custom", lambda d: neutral, lambda a, b, d: op(a, b), lambda v, d: None)
+    return Monoid("custom", lambda d: neutral, lambda a, b, d: op(a, b), lambda v, d, over: None)
+
 
+def own_monoid(name: str, neutral: Any, combine: Callable[[Column, Column], Column], agg: Callable[[Column, Over], Column]) -> Monoid:
+    """An operation with a native aggregate `agg(v, over)`, such as one aggregate function per struct field.
 
-def own_monoid(name: str, neutral: Any, combine: Callable[[Column, Column], Column], agg: Callable[[Column], Column]) -> Monoid:
-    """An operation with a native aggregate, for values of any type, such as one aggregate per struct field."""
-    return Monoid(name, lambda d: neutral, lambda a, b, d: combine(a, b), lambda v, d: agg(v))
+    `over` must be applied to each aggregate function."""
+    return Monoid(name, lambda d: neutral, lambda a, b, d: combine(a, b), lambda v, d, over: agg(v, over))
 
 
 def neutral_element(op: Op, dtype: str) -> Any:

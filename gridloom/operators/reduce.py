@@ -75,7 +75,7 @@ def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, d
         raise TypeError("several arrays need a function")
     kind = _type_of(init, array, dtype)
     which = axes(dims, array.ndim)
-    m = Monoid("python", lambda d: neutral, lambda a, b, d: a, lambda v, d: None) if python else monoid(op, neutral)
+    m = Monoid("python", lambda d: neutral, lambda a, b, d: a, lambda v, d, over: None) if python else monoid(op, neutral)
     value = f(*values) if f else values[0]
     first = init.cast(_result(kind, m)) if m.name == "extrema" else literal(init, kind)
 
@@ -90,9 +90,9 @@ def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, d
         return array.select(finish(value.cast(storage(kind)) if m.name != "extrema" else F.struct(value.alias("min"), value.alias("max"))), kind)
     source_kind = logical_type(array.df.select(value.alias("x")).schema["x"].dataType)
     source_kind = array.dtype if source_kind == storage(array.dtype) else source_kind
-    native = m.agg(F.lit(0), source_kind) is not None
+    native = m.native(source_kind)
     # sums widen before they narrow to the result's type
-    total = None if not native else wrapped_sum(value, kind) if wrap and m.name == "+" and kind in BITS else m.agg(value, source_kind)
+    total = None if not native else wrapped_sum(value, kind) if wrap and m.name == "+" and kind in BITS else m.total(value, source_kind)
 
     def folded(keys: list[str], at: Column, n: int) -> DataFrame:
         rows = array.df.select(*keys, at.cast("bigint").alias("i"), value.cast(storage(kind)).alias("v"))

@@ -53,7 +53,7 @@ def accumulate(op: Op, array: DArray, *, init, neutral=None, dims: int | None =
     if dims is not None and (not isinstance(dims, int) or isinstance(dims, bool) or dims < 1):
         raise ValueError("dims must be a positive integer")
     kind = dtype or array.dtype
-    m = Monoid("python", lambda d: neutral, lambda a, b, d: a, lambda v, d: None) if python else monoid(op, neutral)
+    m = Monoid("python", lambda d: neutral, lambda a, b, d: a, lambda v, d, over: None) if python else monoid(op, neutral)
     if dims is not None and dims > array.ndim:
         return array.select(F.col(array.value), kind, carry)
     known = array.known()
@@ -63,11 +63,11 @@ def accumulate(op: Op, array: DArray, *, init, neutral=None, dims: int | None =
         keys, length, at = [c for c in known.index if c != known.index[dims - 1]], known.shape[dims - 1], F.col(known.index[dims - 1])
     if not len(known):
         return array.select(F.col(array.value), kind, carry)
-    native = m.agg(F.lit(0), known.dtype) is not None
+    native = m.native(known.dtype)
     size = bucket or tuning.bucket(length, BUCKET if native else SMALL_BUCKET)
     work = known.df.select(*keys, *carry, at.cast("bigint").alias("i"), F.col(known.value).cast(storage(kind) if kind != "bool" else "boolean").alias("v"))
     if native:
-        out = native_scan(work, keys, lambda v: m.agg(v, known.dtype), lambda a, b: m.combine(a, b, known.dtype), length, size, not inclusive)
+        out = native_scan(work, keys, lambda v, over: m.total(v, known.dtype, over), lambda a, b: m.combine(a, b, known.dtype), length, size, not inclusive)
     elif python:
         out = python_scan(work.select(*keys, "i", "v"), keys, op, storage(kind), length, size, not inclusive)
     else:

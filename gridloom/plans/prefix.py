@@ -15,19 +15,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Combine = Callable[[Column, Column], Column]
+#: An aggregate of a column; the second argument is applied to each aggregate function in it.
+Aggregate = Callable[[Column, Callable[[Column], Column]], Column]
 
 
 def _window(keys: list[str], exclusive: bool):
     return Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
 
 
-def native_scan(df: DataFrame, keys: list[str], agg: Callable[[Column], Column], combine: Combine, n: int, size: int, exclusive: bool) -> DataFrame:
+def native_scan(df: DataFrame, keys: list[str], agg: Aggregate, combine: Combine, n: int, size: int, exclusive: bool) -> DataFrame:
     """`(keys, i, v)` to the same with the scan in `v` (null for nothing), n rows a key at most."""
     if n <= size:
-        return df.withColumn("v", agg(F.col("v")).over(_window(keys, exclusive)))
+        return df.withColumn("v", agg(F.col("v"), lambda c: c.over(_window(keys, exclusive))))
     bucketed = df.withColumn("_b", F.floor((F.col("i") - 1) / size))
-    local = bucketed.withColumn("v", agg(F.col("v")).over(_window([*keys, "_b"], exclusive)))
-    totals = bucketed.groupBy(*keys, "_b").agg(agg(F.col("v")).alias("v"))
+    local = bucketed.withColumn("v", agg(F.col("v"), lambda c: c.over(_window([*keys, "_b"], exclusive))))
+    totals = bucketed.groupBy(*keys, "_b").agg(agg(F.col("v"), lambda c: c).alias("v"))
     return _carried(local, totals, keys, lambda t, m: native_scan(t, keys, agg, combine, m, size, True), combine, n, size)
 
 

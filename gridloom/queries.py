@@ -131,7 +131,7 @@ def mapreduce_minbox(spark, d):
     df = _table(spark, d, "lineitem").select(F.lit(1).alias("i"), F.struct(F.col("l_quantity").cast("bigint").alias("x"), _cents("l_discount").alias("y")).alias("v"))
     low = lambda a, b: F.struct(F.least(a["x"], b["x"]).alias("x"), F.least(a["y"], b["y"]).alias("y"))
     top = F.struct(F.lit(2**63 - 1).alias("x"), F.lit(2**63 - 1).alias("y"))
-    box = g.monoid("fields", top, low, lambda v: F.struct(F.min(v["x"]).alias("x"), F.min(v["y"]).alias("y")))
+    box = g.monoid("fields", top, low, lambda v, over: F.struct(over(F.min(v["x"])).alias("x"), over(F.min(v["y"])).alias("y")))
     return g.reduce(box, g.DArray(df), init=top).df.select("v.x", "v.y")
 
 

@@ -18,7 +18,7 @@ def _total(df: DataFrame, f: Callable[[Column], Column] | None, op: Op, value: s
     v = f(F.col(value)) if f else F.col(value)
     kind = logical_type(df.select(v.alias("x")).schema["x"].dataType)
     m = monoid(op)
-    total = m.agg(v, kind)
+    total = m.total(v, kind)
     if total is None:
         raise ValueError(f"{m.name} of {kind} has no incremental aggregate")
     return m.combine(literal(init, kind), total.cast(storage(kind)), kind)
