@@ -49,12 +49,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
-    """Write to shared scratch space and read it back: cuts lineage and survives lost executors."""
+    """Write to shared scratch space and read it back: cuts lineage and survives lost executors.
+
+    The shuffle files of the write are given back at its end, since nothing reads them again.
+    """
     spark = df.sparkSession
-    path = scratch(spark)
-    schema = df.schema
-    df.write.option("compression", compression).parquet(path)
+    path, schema, before = scratch(spark), df.schema, spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(schema).parquet(path)
 
 
