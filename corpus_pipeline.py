@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination, packing, quality, simhash, substrings
-from gridloom.llm.common import held_out, quoted, saved, table, tuned
+from gridloom.llm.common import held_out, quoted, saved, shielded, table, tuned
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model, fitted on labels that aren't held out, calls good."""
     tuned(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
-    return quality.classify(docs, model, keep=docs.columns).where("predicted = 1").select(*quoted(docs.columns))
+    docs, back = shielded(docs, quality.ADDED)
+    return quality.classify(docs, model).where("predicted = 1").select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,15 +31,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 50-word windows that a document with a smaller id has too. No row goes."""
     tuned(spark)
+    docs, back = shielded(docs, [*substrings.ADDED, "id", "text_key", "spans"])
     cut = substrings.dedup_substrings(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
-    return cut.select(*quoted(docs.columns))
+    return cut.select(*back)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth is in a benchmark passage."""
     tuned(spark)
-    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
-    return judged.where(~F.col("contaminated")).select(*quoted(docs.columns))
+    docs, back = shielded(docs, decontamination.ADDED)
+    judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return judged.where(~F.col("contaminated")).select(*back)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved
+from gridloom.llm.common import dropped, saved
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:
@@ -44,9 +44,10 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not was[0]:
             break
-        now = saved(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct())
-        done, was = _summary(now) == was, _summary(now)
-        if done:
+        before, now = now, saved(_small_star(_large_star(now).where("u <> v").distinct()).where("u <> v").distinct())
+        dropped(before)
+        before, was = was, _summary(now)
+        if before == was:
             break
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")

@@ -17,6 +17,7 @@ first place, then the template's name. Input columns with the name of an output
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import defaultdict
 
 import numpy as np
@@ -132,6 +133,7 @@ class Index:
 
     def matches(self, words: Words, d: int, t: int, shared: list[tuple[int, int]], band: int, coverage: float) -> list[dict]:
         template, first, stop = self.words[t], int(words.first[d]), int(words.first[d + 1])
+        band = min(band, max(1, len(template) // 3))  # so that two places of a short template stay apart
         shifts = sorted({j - p for p, j in shared})
         groups, start = [], shifts[0]
         for a, b in zip(shifts, [*shifts[1:], None], strict=True):
@@ -152,10 +154,11 @@ class Index:
                     else:
                         spans.append({"start": j + low, "stop": j + low + 1})
                 found.append({"template": self.names[t], "matched": len(pairs), "coverage": len(pairs) / len(template), "start": spans[0]["start"], "stop": spans[-1]["stop"], "spans": spans})
-        out: list[dict] = []
+        out: list[dict] = []  # by start, none overlapping
         for m in sorted(found, key=lambda m: (-m["matched"], m["start"])):
-            if all(m["stop"] <= o["start"] or o["stop"] <= m["start"] for o in out):
-                out.append(m)
+            k = bisect_left(out, m["start"], key=lambda o: o["start"])
+            if (k == 0 or out[k - 1]["stop"] <= m["start"]) and (k == len(out) or m["stop"] <= out[k]["start"]):
+                out.insert(k, m)
         return out
 
 
