@@ -100,3 +100,34 @@ def query(spark, sf_dir):
     turns, texts = F.flatten("w.turns"), F.array_join(F.flatten("w.loss"), "")
     digest = F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
     return read.select("conv_id", F.size(turns).cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length(texts).cast("long").alias("loss_chars"), F.sha2(texts, 256).alias("loss_sha256"), F.aggregate("w.chars", F.lit(0).cast("long"), lambda a, b: a + b).alias("formatted_chars"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, row_number() OVER o - 1 AS i, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM (
+    SELECT *, CAST(ceil(strlen(text) / 4.0) + ceil(strlen(role) / 4.0) + 4 AS BIGINT) AS tokens,
+      length(regexp_replace(role, '<(~*)\|', '<~\1|', 'g')) + length(regexp_replace(text, '<(~*)\|', '<~\1|', 'g')) + 15 AS chars FROM c)
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), s AS (SELECT conv_id, max(CASE WHEN i = 0 AND role = 'system' THEN tokens ELSE 0 END) AS sys FROM t GROUP BY conv_id),
+r AS (
+  SELECT t.conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS win, CAST(CASE WHEN sys > 0 THEN 0 ELSE tokens END AS BIGINT) AS used FROM t JOIN s ON s.conv_id = t.conv_id WHERE t.i = 0
+  UNION ALL
+  SELECT t.conv_id, CAST(t.i AS BIGINT),
+    CAST(win + CASE WHEN used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN 1 ELSE 0 END AS BIGINT),
+    CAST(CASE WHEN used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN tokens ELSE used + tokens END AS BIGINT)
+  FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1 JOIN s ON s.conv_id = t.conv_id
+), w AS (SELECT conv_id, win, min(i) AS start FROM r WHERE win > 0 GROUP BY conv_id, win),
+again AS (
+  SELECT w.conv_id, sum(t.chars + 9) AS chars FROM w JOIN t b ON b.conv_id = w.conv_id AND b.i = w.start - 1 JOIN s ON s.conv_id = w.conv_id
+  JOIN t ON t.conv_id = w.conv_id AND t.i < w.start AND ((sys > 0 AND t.i = 0) OR t.upto - t.tokens >= b.upto - 256) GROUP BY w.conv_id
+), f AS (
+  SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS turns,
+    coalesce(string_agg(text, '' ORDER BY i) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars + 8) AS chars FROM t GROUP BY conv_id
+)
+SELECT f.conv_id, n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
+  CAST(f.chars + coalesce(again.chars, 0) AS BIGINT) AS formatted_chars
+FROM f LEFT JOIN again ON again.conv_id = f.conv_id
+"""

@@ -160,5 +160,57 @@ def judge(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    out = judge(docs)
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "common_distance")
+    return judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_VOCABULARY = ", ".join(f"('{w}')" for w in sorted({w for words in COMMON.values() for w in words}))
+
+ORACLE_SQL = f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id
+), g AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d WHERE len(w) > 2)
+), repeated AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM g WHERE n > 1) GROUP BY doc_id),
+b AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, length(text) AS n_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(repeated.n, 0) AS BIGINT) AS n_repeat_words, length(regexp_replace(text, '[^a-z]', '', 'g')) AS c1,
+    length(regexp_replace(text, '[^A-Z]', '', 'g')) AS c2, length(regexp_replace(text, '[^0-9]', '', 'g')) AS c3, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS c5
+  FROM d LEFT JOIN lines ON lines.doc_id = d.doc_id LEFT JOIN repeated ON repeated.doc_id = d.doc_id
+), f AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols AS c4, n_chars - word_chars AS c6,
+    greatest(0, n_chars - c1 - c2 - c3 - n_symbols - c5 - (n_chars - word_chars)) AS c7 FROM b
+), vocabulary(word) AS (VALUES {_VOCABULARY}),
+common AS (
+  SELECT doc_id, x AS word, count(*) AS n FROM (SELECT doc_id, lower(y) AS x FROM (SELECT doc_id, unnest(w) AS y FROM d) WHERE length(y) <= 5)
+  WHERE x IN (SELECT word FROM vocabulary) GROUP BY doc_id, x
+), sums AS (
+  SELECT lang, sum(n_words) AS words, sum(c1) AS c1, sum(c2) AS c2, sum(c3) AS c3, sum(c4) AS c4, sum(c5) AS c5, sum(c6) AS c6, sum(c7) AS c7
+  FROM f WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr') GROUP BY lang
+), known AS (
+  SELECT f.lang, word, sum(n) AS n FROM common JOIN f ON f.doc_id = common.doc_id WHERE NOT base_failed AND f.lang IN ('de', 'en', 'es', 'fr') GROUP BY f.lang, word
+), pairs AS (
+  SELECT f.doc_id, s.lang, c.n / CAST(greatest(f.n_words, 1) AS DOUBLE) AS p, coalesce(k.n, 0) / CAST(s.words AS DOUBLE) AS q
+  FROM f CROSS JOIN sums s CROSS JOIN vocabulary v LEFT JOIN common c ON c.doc_id = f.doc_id AND c.word = v.word
+  LEFT JOIN known k ON k.lang = s.lang AND k.word = v.word WHERE c.n > 0 OR k.n > 0
+), bins AS (
+  SELECT doc_id, lang, coalesce(p, 0) AS p, q, 2 AS kind FROM pairs
+  UNION ALL SELECT doc_id, lang, greatest(0, 1 - sum(coalesce(p, 0))), greatest(0, 1 - sum(q)), 2 FROM pairs GROUP BY doc_id, lang
+  UNION ALL SELECT doc_id, lang, x[1] / greatest(x[3], 1), x[2] / greatest(x[4], 1), 1 FROM (
+    SELECT f.doc_id, s.lang, unnest([[CAST(f.c1 AS DOUBLE), s.c1, tf, ts], [f.c2, s.c2, tf, ts], [f.c3, s.c3, tf, ts], [f.c4, s.c4, tf, ts], [f.c5, s.c5, tf, ts], [f.c6, s.c6, tf, ts], [f.c7, s.c7, tf, ts]]) AS x
+    FROM (SELECT *, c1 + c2 + c3 + c4 + c5 + c6 + c7 AS tf FROM f) f CROSS JOIN (SELECT *, c1 + c2 + c3 + c4 + c5 + c6 + c7 AS ts FROM sums) s)
+), far AS (
+  SELECT doc_id, lang, kind, sqrt(least(1, greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS x
+  FROM bins GROUP BY doc_id, lang, kind
+), near AS (
+  SELECT f.doc_id, a.x AS class, b.x AS common, 0.1 + 2.8 / sqrt(greatest(f.n_words, 1)) AS most,
+    row_number() OVER (PARTITION BY f.doc_id ORDER BY a.x / 0.25 + b.x / (0.1 + 2.8 / sqrt(greatest(f.n_words, 1))), a.lang) AS place
+  FROM f JOIN far a ON a.doc_id = f.doc_id AND a.kind = 1 JOIN far b ON b.doc_id = f.doc_id AND b.lang = a.lang AND b.kind = 2
+)
+SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND (n_words < 100 OR near.place IS NULL OR (class <= 0.25 AND common <= most)) AS kept
+FROM f LEFT JOIN near ON near.doc_id = f.doc_id AND place = 1
+"""

@@ -44,7 +44,9 @@ def test_query_equals_brute_force(spark):
             w.update(b["common"])
             n[0] += b["n_words"]
     order = sorted(VOCABULARY)
-    for r in query(spark, SF).collect():
+    verdicts = {r["doc_id"]: r["kept"] for r in query(spark, SF).collect()}
+    for r in judge(spark.read.parquet(f"{SF}/documents.parquet")).collect():
+        assert r["kept"] == verdicts[r["doc_id"]]
         b, d = known[r["doc_id"]], r["doc_id"]
         for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"):
             assert r[k] == b[k], (d, k)
