@@ -1,6 +1,7 @@
 """All public operators in one place, under the names that array code uses."""
 
 from gridloom.errors import DimensionMismatch
+from gridloom.functions.literals import get_backend, i8, i16, i32, i64, int_linspace, synchronize, typed, u8, u16, u32, u64
 from gridloom.functions.monoids import neutral_element
 from gridloom.functions.monoids import own_monoid as monoid
 from gridloom.functions.tuning import Tuning
@@ -18,11 +19,15 @@ from gridloom.operators.sort import (
     merge_sort_by_key,
     merge_sort_by_key_,
     merge_sortperm,
+    merge_sortperm_,
+    merge_sortperm_lowmem,
+    merge_sortperm_lowmem_,
     radix_sort,
     radix_sort_,
     sample_sort,
     sample_sort_,
     sample_sortperm,
+    sample_sortperm_,
     sort,
     sort_,
     sort_by_key,

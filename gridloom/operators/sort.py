@@ -110,6 +110,15 @@ def sample_sortperm(array: DArray, **kwargs) -> DArray:
     return sortperm(array, alg="sample", **kwargs)
 
 
+def merge_sortperm_(target: DArray, array: DArray, **kwargs) -> DArray:
+    return sortperm_(target, array, alg="merge", **kwargs)
+
+
+def sample_sortperm_(target: DArray, array: DArray, **kwargs) -> DArray:
+    return sortperm_(target, array, alg="sample", **kwargs)
+
+
+merge_sortperm_lowmem, merge_sortperm_lowmem_ = merge_sortperm, merge_sortperm_
 merge_sort_by_key = sort_by_key
 merge_sort_, sample_sort_, radix_sort_ = merge_sort, sample_sort, radix_sort
 merge_sort_by_key_ = sort_by_key

@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_folder() -> str:
+    """For local sessions only: a folder that goes with the process."""
+    path = tempfile.mkdtemp(prefix="gridloom-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def scratch(spark: SparkSession) -> str:
+    """A fresh path in the folder that `spark.checkpoint.dir` names.
+
+    Where that is unset a local session uses a temporary folder; on a cluster it is an error, since executors
+    don't see each other's folders.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = os.path.join(tempfile.gettempdir(), "gridloom-scratch")
+        root = _own_folder()
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 

@@ -104,3 +104,13 @@ def test_streaming(spark, tmp_path):
     assert {r["k"]: r["v"] for r in spark.sql("SELECT * FROM total").collect()} == {0: 198, 1: 194, 2: 196}
     done = sorted(r["v"] for r in spark.sql("SELECT * FROM windows").collect())
     assert done == [sum(range(20 * w, 20 * w + 20)) for w in range(len(done))] and len(done) >= 3
+
+
+def test_literals_and_linspace(spark):
+    row = spark.range(1).select(g.u32(5).alias("a"), g.i8(-3).alias("b"), g.u64(2**64 - 1).alias("c"))
+    assert [f.dataType.simpleString() for f in row.schema] == ["bigint", "tinyint", "decimal(20,0)"] and int(row.first()["c"]) == 2**64 - 1
+    for f, v in ((g.u8, 256), (g.i8, 1.5), (g.u16, -1)):
+        with pytest.raises(ValueError):
+            f(v)
+    assert g.int_linspace(spark, 1, 100, 5).values() == [1, 25, 50, 75, 100]
+    assert g.get_backend(g.from_range(spark, 1, 2)) == "spark" and g.synchronize() is None
