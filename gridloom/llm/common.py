@@ -6,16 +6,14 @@ made of it, so a worker's memory follows the longest single text, not the batch.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.scratch import scratch
+
 CHUNK_BYTES = 2 << 20
 
 #: ASCII white space that ends a word.
@@ -36,19 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that the cluster shares (`spark.checkpoint.dir`).
-
-    Only where that is unset, as in local tests, a local temporary folder is used.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = os.path.join(tempfile.gettempdir(), "gridloom-scratch")
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
