@@ -31,6 +31,8 @@ COMMON = {
     "es": ("de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "no", "una", "su", "para", "es", "al", "lo", "como", "más", "o", "pero", "sus", "le", "ha", "me", "si"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "a", "par", "plus", "pas", "au", "sur", "ne", "se", "il", "ce", "avec", "ou", "son", "sont", "aux"),
 }
+#: Those words as they stand in texts: in lower case, with a capital, and in capitals.
+FORMS = {f for words in COMMON.values() for w in words for f in (w, w[0].upper() + w[1:], w.upper())}
 WHITE = r"[\x20\x09-\x0D]+"
 CLASSES = ("lower", "upper", "digit", "symbol", "wide", "white", "other")
 
@@ -51,25 +53,26 @@ def features(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str
     t = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{lang}`").cast("string").alias("lang"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     t = t.select("id", "lang", "text", F.array_remove(F.split("text", WHITE), "").alias("words"), F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     t = t.select("id", "lang", "text", "words", F.size("words").alias("n"), (F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"), F.length(F.array_join("words", "")).alias("word_chars"))
-    # bits that a word's position needs; the rest of a key is the window's hash
-    t = t.withColumn("low", F.pow(F.lit(2.0), F.length(F.bin("n"))).cast("long"))
-    hashed = F.transform(
-        F.slice("words", F.lit(1), F.greatest(F.col("n") - 2, F.lit(0))),
-        lambda w, i: F.coalesce(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).bitwiseAND(-F.col("low")).bitwiseOR(i.cast("long")), F.lit(0).cast("long")),
-    )
-    vocabulary = sorted({w for words in COMMON.values() for w in words})
-    named = F.filter("words", lambda w: (F.length(w) <= max(map(len, vocabulary))) & F.lower(w).isin(vocabulary))
-    t = t.select("*", F.sort_array(hashed).alias("keys"), F.sort_array(F.transform(named, F.lower)).alias("named"))
+    # hashes of all windows; texts in which none is repeated, which is most, skip what follows
+    windows = F.slice("words", F.lit(1), F.greatest(F.col("n") - 2, F.lit(0)))
+    t = t.withColumn("hashes", F.transform(windows, lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))))
+    t = t.withColumn("low", F.pow(F.lit(2.0), F.length(F.bin("n"))).cast("long"))  # bits that a word's position needs
+    keys = F.transform("hashes", lambda h, i: F.coalesce(h.bitwiseAND(-F.col("low")).bitwiseOR(i.cast("long")), F.lit(0).cast("long")))
+    none = F.array().cast("array<bigint>")
+    keys = F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), F.sort_array(keys)).otherwise(none)
+    named = F.filter("words", lambda w: w.isin(sorted(FORMS)))
+    t = t.select("id", "lang", "text", "words", "n", "n_dup_lines", "word_chars", "low", keys.alias("keys"), F.sort_array(F.transform(named, F.lower)).alias("named"))
 
     def word(at: Column, k: int) -> Column:
         return F.get("words", at.cast("int") + k)
 
     def same(x: Column, y: Column) -> Column:
         p, q = x.bitwiseAND(F.col("low") - 1), y.bitwiseAND(F.col("low") - 1)
-        equal = x.bitwiseAND(-F.col("low")) == y.bitwiseAND(-F.col("low"))
-        return F.coalesce(equal & (word(p, 0) == word(q, 0)) & (word(p, 1) == word(q, 1)) & (word(p, 2) == word(q, 2)), F.lit(False))
+        # equal hash bits leave a difference below `low`
+        return F.coalesce(x.bitwiseXOR(y).between(0, F.col("low") - 1) & (word(p, 0) == word(q, 0)) & (word(p, 1) == word(q, 1)) & (word(p, 2) == word(q, 2)), F.lit(False))
 
-    twice = F.filter("keys", lambda x, i: same(x, F.get("keys", i + 1)) | same(x, F.get("keys", i - 1)))
+    t = t.withColumn("next", F.transform("keys", lambda x, i: same(x, F.get("keys", i + 1))))
+    twice = F.filter("keys", lambda x, i: F.get("next", i) | F.coalesce(F.get("next", i - 1), F.lit(False)))
     begun = F.filter(F.transform("named", lambda w, i: F.when(F.coalesce(F.get("named", i - 1) != w, F.lit(True)), i)), lambda i: i.isNotNull())
     t = t.select("id", "lang", "text", "n", "n_dup_lines", "word_chars", "named", F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.col("low") - 1))).alias("starts"), begun.alias("begun"))
     # a covered word is counted at the first window over it
@@ -164,6 +167,7 @@ def query(spark, sf_dir):
 
 
 _VOCABULARY = ", ".join(f"('{w}')" for w in sorted({w for words in COMMON.values() for w in words}))
+_FORMS = ", ".join(f"('{w}')" for w in sorted(FORMS))
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
@@ -185,8 +189,8 @@ b AS (
     greatest(0, n_chars - c1 - c2 - c3 - n_symbols - c5 - (n_chars - word_chars)) AS c7 FROM b
 ), vocabulary(word) AS (VALUES {_VOCABULARY}),
 common AS (
-  SELECT doc_id, x AS word, count(*) AS n FROM (SELECT doc_id, lower(y) AS x FROM (SELECT doc_id, unnest(w) AS y FROM d) WHERE length(y) <= 5)
-  WHERE x IN (SELECT word FROM vocabulary) GROUP BY doc_id, x
+  SELECT doc_id, x AS word, count(*) AS n FROM (SELECT doc_id, lower(y) AS x FROM (SELECT doc_id, unnest(w) AS y FROM d) WHERE y IN (SELECT * FROM (VALUES {_FORMS})))
+  GROUP BY doc_id, x
 ), sums AS (
   SELECT lang, sum(n_words) AS words, sum(c1) AS c1, sum(c2) AS c2, sum(c3) AS c3, sum(c4) AS c4, sum(c5) AS c5, sum(c6) AS c6, sum(c7) AS c7
   FROM f WHERE NOT base_failed AND lang IN ('de', 'en', 'es', 'fr') GROUP BY lang

@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from gridloom.llm.quality_rules import COMMON, features, judge, query
+from gridloom.llm.quality_rules import COMMON, FORMS, features, judge, query
 
 SF = "/root/testdata/sf0.001"
 VOCABULARY = {w for words in COMMON.values() for w in words}
@@ -22,7 +22,7 @@ def brute(text):
     n = lambda p: len(re.findall(p, text))
     classes = [n("[a-z]"), n("[A-Z]"), n("[0-9]"), n(r"[#*$%&|<>]"), n(r"[^\x00-\x7F]"), len(text) - sum(map(len, words))]
     classes.append(max(0, len(text) - sum(classes)))
-    common = Counter(w.lower() for w in words if w.lower() in VOCABULARY)
+    common = Counter(w.lower() for w in words if w in FORMS)
     return {"n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": n(r"[#*$%&|<>]"), "n_dup_lines": dup, "n_repeat_words": len(covered), "classes": classes, "common": common}
 
 
