@@ -117,6 +117,8 @@ def linked(distinct: DataFrame, masks: list[tuple[int, int]], distance: int, lan
     def link(batches):
         rest = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             data = [np.asarray(c) for c in batch.columns]
             if rest is not None:
                 data = [np.concatenate(x) for x in zip(rest, data, strict=True)]
