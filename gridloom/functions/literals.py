@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.model import BITS, DArray, limits, storage
+from gridloom.model import BITS, DArray, limits, literal
 
 
 def typed(value, dtype: str) -> Column:
@@ -14,7 +14,7 @@ def typed(value, dtype: str) -> Column:
         low, high = limits(dtype)
         if int(value) != value or not low <= value <= high:
             raise ValueError(f"{value} isn't of type {dtype}")
-    return F.lit(value).cast(storage(dtype))
+    return literal(value, dtype)
 
 
 def i8(v) -> Column:

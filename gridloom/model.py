@@ -8,6 +8,7 @@ Values are not null by contract (`checked` tests it).
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from decimal import Decimal
 from functools import reduce as fold
 from operator import mul
 
@@ -51,6 +52,8 @@ def literal(value, dtype: str) -> Column:
         return value.cast(storage(dtype))
     if isinstance(value, tuple):
         raise ValueError("give struct values as Column")
+    if dtype == "uint64":  # too wide for a long
+        return F.lit(Decimal(value)).cast(storage(dtype))
     return F.lit(value).cast(storage(dtype))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def from_values(spark: SparkSession, values: Sequence, dtype: str, shape: tuple[
         for size in shape:
             place.append(at % size + 1)
             at //= size
-        rows.append((*place, v))
+        rows.append((*place, Decimal(v) if dtype == "uint64" else v))
     schema = ", ".join(f"{n} bigint" for n in names) + f", v {storage(dtype)}"
     return DArray(spark.createDataFrame(rows, schema), names, "v", tuple(shape), dtype)
 

@@ -109,6 +109,7 @@ def test_streaming(spark, tmp_path):
 def test_literals_and_linspace(spark):
     row = spark.range(1).select(g.u32(5).alias("a"), g.i8(-3).alias("b"), g.u64(2**64 - 1).alias("c"))
     assert [f.dataType.simpleString() for f in row.schema] == ["bigint", "tinyint", "decimal(20,0)"] and int(row.first()["c"]) == 2**64 - 1
+    assert int(g.minimum(array(spark, [7, 2**64 - 1], "uint64")).get()) == 7
     for f, v in ((g.u8, 256), (g.i8, 1.5), (g.u16, -1)):
         with pytest.raises(ValueError):
             f(v)
