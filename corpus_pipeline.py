@@ -23,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts with a 5-word shingle similarity of about 0.8 or more."""
+    """One document of each group of texts with a 5-word shingle Jaccard of 0.8 or more."""
     tuned(spark)
     return simhash.representatives(docs).select(*quoted(docs.columns))
 

@@ -17,7 +17,6 @@ one node. A null id takes part but never names a component: one of null ids alon
 
 from __future__ import annotations
 
-import random
 from itertools import combinations
 
 import numpy as np
@@ -96,18 +95,7 @@ def spanning_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
     A row that was reached is never compared again with others that were, so a dense group costs about one
     comparison for each member, and memory is a few times the group.
     """
-    left, edges = np.arange(len(values)), []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            at = front.pop()
-            near = np.bitwise_count(values[left] ^ values[at]).sum(axis=1) <= distance
-            if near.any():
-                reached = left[near].tolist()
-                edges += [(at, b) for b in reached]
-                front += reached
-                left = left[~near]
-    return edges
+    return spanning(len(values), lambda at, left: np.bitwise_count(values[left] ^ values[at]).sum(axis=1) <= distance)
 
 
 def linked(distinct: DataFrame, masks: list[tuple[int, int]], distance: int, lanes: int) -> DataFrame:
@@ -170,23 +158,211 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return merged.withColumnRenamed("id", id)
 
 
-def sampled_masks(lanes: int, each: int, bits: int, seed: int = 7) -> list[tuple[int, int]]:
-    """`each` choices of `bits` bits in every lane, for similarities at which no whole block need agree.
+def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different shingle hashes of every text in order, and where each text's begin."""
+    hashes, document = shingle_hashes(words, size)
+    order = np.lexsort((hashes, document))
+    hashes, document = hashes[order], document[order]
+    first = np.ones(len(hashes), dtype=bool)
+    first[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
+    at = np.zeros(len(words.first), dtype=np.int64)
+    np.cumsum(np.bincount(document[first], minlength=len(at) - 1), out=at[1:])
+    return hashes[first], at
+
+
+def common_shingles(docs: DataFrame, text: str, shingle: int, sample: int = 10_000, least: int = 10, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that `least` of about `sample` texts have, ascending, and their counts."""
+
+    def make(batches):
+        for part in chunks(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(Words(texts(part), lower=True), shingle)[0].view(np.int64))], ["h"])
+
+    share = min(1.0, sample / max(1, docs.count()))
+    some = docs.select(F.col(f"`{text}`").cast("string").alias("text")).sample(share, SEED)
+    found = some.mapInArrow(make, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
+    hashes, counts = np.array(found.column("h"), dtype=np.int64).view(np.uint64), np.array(found.column("count"), dtype=np.int64)
+    order = np.argsort(hashes)
+    return hashes[order], counts[order]
+
+
+def prefixes(hashes: np.ndarray, at: np.ndarray, common: tuple[np.ndarray, np.ndarray], part: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first hashes of every text in one order of all hashes, rare ones first: as many as two sets with a
+    Jaccard of `part / of` can't do without one in common. Also how many each text has."""
+    size = np.diff(at)
+    count = np.where(size > 0, size - -(-part * size // of) + 1, 0)
+    document = np.repeat(np.arange(len(size)), size)
+    if len(common[0]):
+        near = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+        rank = np.where(common[0][near] == hashes, common[1][near], 0)
+        hashes = hashes[np.lexsort((hashes, rank, document))]
+    return hashes[np.arange(len(hashes)) - at[document] < count[document]], count
+
+
+def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, part: int, of: int) -> DataFrame:
+    """`(id, text_key, node, size, fp0.., keys)`: a hash and the size of the set of shingles, the set's SimHash, and its prefix."""
+    common = common_shingles(docs, text, shingle)
+
+    def make(batches):
+        from gridloom.llm.common import mix64
+
+        for some in chunks(batches, "text"):
+            hashes, at = shingle_sets(Words(texts(some), lower=True), shingle)
+            n, size = some.num_rows, np.diff(at)
+            document = np.repeat(np.arange(n), size)
+            node = np.array([xxhash.xxh64_intdigest(hashes[a:b].tobytes(), SEED) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], dtype=np.uint64)
+            columns = [some.column(0), some.column(2), pa.array(node.view(np.int64)), pa.array(size)]
+            for lane in range(lanes):
+                h = hashes if not lane else mix64(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
+                columns.append(pa.array(majority(h, document, n).view(np.int64)))
+            keys, count = prefixes(hashes, at, common, part, of)
+            columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(keys.view(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "node", "size", *(f"fp{i}" for i in range(lanes)), "keys"])
+
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
+    return rows.mapInArrow(make, "id long, text_key long, node long, size long, " + ", ".join(f"fp{i} long" for i in range(lanes)) + ", keys array<long>")
+
+
+def spanning(n: int, near) -> list[tuple[int, int]]:
+    """Edges that connect what `near(at, left)` connects; each of n rows is reached once."""
+    left, edges = np.arange(n), []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            close = near(at, left)
+            if close.any():
+                reached = left[close].tolist()
+                edges += [(at, b) for b in reached]
+                front += reached
+                left = left[~close]
+    return edges
+
+
+def grouped(batches):
+    """Columns of each run of equal values in the first column, which is sorted; a run may cross batches."""
+    rest = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        starts, stops = runs(rest.column(0).to_numpy())
+        for a, b in zip(starts[:-1].tolist(), stops[:-1].tolist(), strict=True):
+            yield rest.slice(a, b - a)
+        rest = rest.slice(starts[-1])
+    if rest is not None:
+        yield rest
+
+
+def candidates(distinct: DataFrame, lanes: int, cut: int, few: int, part: int, of: int) -> DataFrame:
+    """Edges `(u, v)` that join what shares a prefix key, has sizes that allow the Jaccard, and differs in at most
+    `cut` bits; sets of at most `few` shingles have no reliable bits and need only the first two."""
+    fps = [f"fp{i}" for i in range(lanes)]
+
+    def link(batches):
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = [np.asarray(c) for c in batch.columns]
+            if rest is not None:
+                data = [np.concatenate(x) for x in zip(rest, data, strict=True)]
+            starts, stops = runs(data[0])
+            last = starts[-1]  # the last run may go on in the next batch
+            rest = [c[last:] for c in data]
+            yield from found(data, starts[:-1], stops[:-1])
+        if rest is not None:
+            yield from found(rest, *runs(rest[0]))
+
+    def found(data, starts, stops):
+        node, size, values = data[1], data[2], np.stack([c.view(np.uint64) for c in data[3:]], axis=1)
+
+        def near(at, left):
+            small, large = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
+            bits = np.bitwise_count(values[left] ^ values[at]).sum(axis=-1)
+            return (of * small >= part * large) & ((bits <= cut) | (small <= few))
+
+        two = starts[stops - starts == 2]
+        two = two[near(two, two + 1)] if len(two) else two
+        u, v = [node[two]], [node[two + 1]]
+        many = stops - starts > 2
+        for a, b in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
+            if edges := spanning(b - a, lambda at, left, a=a: near(at + a, left + a)):
+                pair = np.array(edges) + a
+                u.append(node[pair[:, 0]])
+                v.append(node[pair[:, 1]])
+        pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    keyed = distinct.select(F.explode("keys").alias("key"), "node", "size", *fps)
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
+
+
+def similar_sets(hashes: np.ndarray, at: np.ndarray, part: int, of: int) -> list[tuple[int, int]]:
+    """Edges that connect what sets with a Jaccard of `part / of` or more connect; sets as of `shingle_sets`."""
+    size = np.diff(at)
+    number = np.unique(hashes, return_inverse=True)[1]
+    mark = np.zeros(len(hashes), dtype=bool)
+    held = [np.arange(len(size)), number, at[:-1]]  # rows that the next two are of, their hashes, where each begins
+
+    def near(i, left):
+        if 2 * len(left) < len(held[0]):
+            held[0] = left
+            begin = np.cumsum(size[left]) - size[left]
+            held[1] = number[np.repeat(at[left] - begin, size[left]) + np.arange(size[left].sum())]
+            held[2] = begin
+        mark[number[at[i] : at[i + 1]]] = True
+        both = np.add.reduceat(mark[held[1]], held[2], dtype=np.int64)[np.searchsorted(held[0], left)]
+        mark[number[at[i] : at[i + 1]]] = False
+        return of * both >= part * (size[left] + size[i] - both)
+
+    return spanning(len(size), near)
 
-    A pair whose bits differ with chance p agrees on a choice with chance (1 - p) ** bits, so it is missed
-    with chance (1 - (1 - p) ** bits) ** (lanes * each). `bits` should grow with log2 of the number of texts.
+
+def verified(members: DataFrame, shingle: int, part: int, of: int) -> DataFrame:
+    """`members (root, node, text)`, one text for each set, to edges `(u, v)` of an exact Jaccard inside each root."""
+
+    def make(batches):
+        for group in grouped(batches):
+            if group.num_rows < 2:
+                continue
+            node, sets = group.column("node").to_numpy(), []
+            for some in chunks(group.combine_chunks().to_batches(), "text"):
+                hashes, at = shingle_sets(Words(texts(some), lower=True), shingle)
+                sets += [hashes[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+            if edges := similar_sets(np.concatenate(sets), at, part, of):
+                pair = np.array(edges)
+                yield pa.RecordBatch.from_arrays([pa.array(node[pair[:, 0]]), pa.array(node[pair[:, 1]])], ["u", "v"])
+
+    return members.select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node").mapInArrow(make, "u long, v long")
+
+
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, cut: int = 76, few: int = 48, part: int = 4, of: int = 5) -> DataFrame:
+    """`(id, text_key, group)`: rows whose sets of shingles are linked by Jaccards of `part / of` or more share a group.
+
+    Candidates come from prefixes of the sets, which no such pair escapes, and from a cut on SimHash bits that is
+    wide for it; they only name groups in which links are then looked for by exact Jaccard.
     """
-    rng = random.Random(seed)
-    return [(lane, sum(1 << b for b in rng.sample(range(64), bits))) for lane in range(lanes) for _ in range(each)]
+    fps = [f"fp{i}" for i in range(lanes)]
+    rows = saved(signatures(docs, id, text, shingle, lanes, part, of))
+    distinct = saved(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("size", *fps, "keys")]))
+    loose = components(candidates(distinct, lanes, cut, few, part, of)).withColumnRenamed("node", "_node")
+    chosen = distinct.join(loose, F.col("node") == F.col("_node")).select("node", "root", F.col("text_key").alias("_key"))
+    body = F.col(f"`{text}`").cast("string")
+    members = docs.select(body.alias("text"), F.xxhash64(body).alias("text_key")).join(chosen, F.col("text_key") == F.col("_key")).dropDuplicates(["node"])
+    roots = components(verified(members, shingle, part, of)).withColumnRenamed("node", "_node")
+    return rows.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("id").alias(id), "text_key", F.coalesce("root", "node").alias("group"))
 
 
-def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, each: int = 16, bits: int = 20, share: float = 0.165) -> DataFrame:
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """Documents of which one of each group of near copies stays: the one with the smallest id.
 
-    With 256 bits, texts whose sets of 5-word shingles have a similarity of 0.8 differ in about 15 percent
-    of them; those within `share` are linked. Null ids stay only where a group has no other.
+    Near copies are texts whose sets of shingles have a Jaccard of 0.8 or more, and what they link. Null ids stay
+    only where a group has no other.
     """
-    found = near_duplicates(docs, id, text, shingle, int(share * 64 * lanes), lanes=lanes, masks=sampled_masks(lanes, each, bits))
+    found = near_copies(docs, id, text, shingle)
     first = F.min(F.struct(F.col(f"`{id}`").isNull().alias("none"), F.col(f"`{id}`").alias("id"), F.col("text_key")))
     kept = found.groupBy("group").agg(first.alias("own")).select(F.col("own.id").alias("_id"), F.col("own.text_key").alias("_key")).distinct()
     keyed = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text}`").cast("string")))

@@ -4,7 +4,7 @@ import numpy as np
 import xxhash
 
 from gridloom.llm.graph import components
-from gridloom.llm.simhash import linked, near_duplicates, pigeonhole_masks, query, spanning_links
+from gridloom.llm.simhash import linked, near_duplicates, pigeonhole_masks, query, representatives, spanning_links
 
 SF = "/root/testdata/sf0.001"
 
@@ -79,3 +79,27 @@ def test_components_of_a_long_path(spark):
     edges = spark.range(1, 400).selectExpr("id as u", "id - 1 as v").union(spark.createDataFrame([(900, 901), (901, 901)], "u long, v long"))
     got = {r["node"]: r["root"] for r in components(edges).collect()}
     assert got == {i: 0 for i in range(400)} | {900: 900, 901: 900}
+
+
+def test_representatives_against_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7)))
+    rows, common = [(0, ""), (1, "one"), (2, "one two"), (3, "one two three four five"), (4, "one two three four five six")], [word() for _ in range(60)]
+    for _ in range(80):
+        base = [word() for _ in range(rng.choice([9, 30, 100, 300]))]
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(base) // 25)):
+                copy[rng.randrange(len(copy))] = word()
+            rows.append((len(rows), " ".join(copy + common * rng.randint(0, 1))))
+    rows.append((len(rows), " ".join(common)))
+    rows.append((len(rows), " ".join(common * 40)))  # few shingles more, many repeats
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.split()) else set() for _, t in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                old, new = max(root[a], root[b]), min(root[a], root[b])
+                root = [new if r == old else r for r in root]
+    got = {r["doc_id"] for r in representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 100 < len(set(root)) < len(rows) and got == set(root)
