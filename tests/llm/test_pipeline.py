@@ -57,3 +57,25 @@ def test_ties_and_nulls_in_representatives(spark):
     rows = [(5, "same text here"), (5, "same text here"), (None, "same text here"), (None, "other words alone"), (None, "other words alone"), (7, None), (8, "")]
     got = sorted((tuple(r) for r in representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
     assert got == sorted([(5, "same text here"), (None, "other words alone"), (7, None)], key=str)
+
+
+def test_isolated_pairs_by_band(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    bands = {(0.65, 0.78): [], (0.8, 0.82): [], (0.82, 0.85): [], (0.85, 0.9): []}
+    rows = []
+    while min(map(len, bands.values())) < 60:
+        base = [word() for _ in range(rng.randint(150, 400))]
+        copy = list(base)
+        for at in rng.sample(range(len(base)), rng.randint(len(base) // 100, len(base) // 20)):
+            copy[at] = word()
+        a, b = shingles(" ".join(base)), shingles(" ".join(copy))
+        similarity = len(a & b) / len(a | b)
+        for (low, high), own in bands.items():
+            if low <= similarity < high and len(own) < 60:
+                own.append(len(rows) + 1)
+                rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {a for a, _ in rows if a % 2 == 0} <= kept
+    stayed = {band: sum(b in kept for b in own) for band, own in bands.items()}
+    assert stayed == {(0.65, 0.78): 60, (0.8, 0.82): 0, (0.82, 0.85): 0, (0.85, 0.9): 0}
