@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.plans.scratch import scratch
+from gridloom.plans.scratch import stored
 
 CHUNK_BYTES = 2 << 20
 
@@ -34,32 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write to shared scratch space and read it back: cuts lineage and survives lost executors.
 
-    The shuffle files of the write are given back at its end, since nothing reads them again. The table stays
-    until `dropped` or until the folder is cleaned, since results may be read at any later time.
+    The table stays until `dropped`, `released` or the end of the program, since results may be read at any later time.
     """
-    spark = df.sparkSession
-    path, schema, before = scratch(spark), df.schema, spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table of `saved` that nothing reads any more."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return stored(df, compression)
 
 
 def chunks(batches, column: str = "text", limit: int = CHUNK_BYTES, row: int = 64):
@@ -197,8 +177,3 @@ def shielded(df: DataFrame, added) -> tuple[DataFrame, list]:
     low = {a.lower() for a in added}
     names = [(n, f"_own{i}" if n.lower() in low else n) for i, n in enumerate(df.columns)]
     return df.select(*[F.col(f"`{n}`").alias(o) for n, o in names]), [F.col(f"`{o}`").alias(n) for n, o in names]
-
-
-def tuned(spark: SparkSession) -> None:
-    """Smaller Arrow batches than the default, since rows hold whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

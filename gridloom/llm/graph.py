@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import dropped, saved
+from gridloom.llm.common import saved
+from gridloom.plans.scratch import dropped
 
 
 def _with_least(pairs: DataFrame) -> DataFrame:

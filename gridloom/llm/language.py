@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, held_out, others, quoted, table, texts, tuned
+from gridloom.llm.common import chunks, held_out, others, quoted, table, texts
 
 ADDED = ["lang_pred", "score", "rejected"]
 UNKNOWN = "und"
@@ -145,7 +145,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def query(spark, sf_dir):
-    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

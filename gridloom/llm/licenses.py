@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, sliding_min, table, texts, tuned
+from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, sliding_min, table, texts
 
 ADDED = ["licenses"]
 MATCH = "array<struct<template:string,matched:int,coverage:double,start:int,stop:int,spans:array<struct<start:int,stop:int>>>>"
@@ -184,7 +184,6 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
 
 def query(spark, sf_dir):
-    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     hits = scan(docs, keep=["doc_id"]).select("doc_id", F.explode("licenses").alias("m"))
     return hits.select("doc_id", "m.template", "m.matched", "m.coverage", "m.start", "m.stop")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rolling, Words, chunks, held_out, others, quoted, table, texts, tuned
+from gridloom.llm.common import Rolling, Words, chunks, held_out, others, quoted, table, texts
 
 ADDED = ["score", "predicted"]
 
@@ -188,7 +188,6 @@ def classify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def query(spark, sf_dir):
-    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return classify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, chunks, runs, saved, table, texts, tuned
+from gridloom.llm.common import Words, chunks, runs, saved, table, texts
 from gridloom.llm.graph import components
 
 SEED = 42
@@ -371,7 +371,6 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def query(spark, sf_dir):
-    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs, shingle=4, distance=4, blocks=7)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, Rolling, Words, chunks, others, quoted, runs, saved, sliding_min, table, texts, tuned
+from gridloom.llm.common import NULL_ID, Rolling, Words, chunks, others, quoted, runs, saved, sliding_min, table, texts
 
 ADDED = ["n_words", "n_removed", "removed", "kept_text"]
 #: Windows of a super-k-mer at most, so that a packed string has a bounded length. A longer run is cut.
@@ -205,7 +205,6 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
 
 
 def query(spark, sf_dir):
-    tuned(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = dedup_substrings(docs, keep=["doc_id"])
     words = F.array_remove(F.split(F.coalesce("kept_text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
