@@ -11,12 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination, packing, quality, simhash, substrings
-from gridloom.llm.common import held_out, quoted, saved, shielded, table, tuned
+from gridloom.llm.common import held_out, quoted, saved, shielded, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line model, fitted on labels that aren't held out, calls good."""
-    tuned(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     docs, back = shielded(docs, quality.ADDED)
     return quality.classify(docs, model).where("predicted = 1").select(*back)
@@ -24,13 +23,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a 5-word shingle Jaccard of 0.8 or more."""
-    tuned(spark)
     return simhash.representatives(docs).select(*quoted(docs.columns))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of 50-word windows that a document with a smaller id has too. No row goes."""
-    tuned(spark)
     docs, back = shielded(docs, [*substrings.ADDED, "id", "text_key", "spans"])
     cut = substrings.dedup_substrings(docs).withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return cut.select(*back)
@@ -38,7 +35,6 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than a twentieth is in a benchmark passage."""
-    tuned(spark)
     docs, back = shielded(docs, decontamination.ADDED)
     judged = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("contaminated")).select(*back)
@@ -46,7 +42,6 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document goes: sequences of at most 2048 tokens."""
-    tuned(spark)
     return packing.pack(docs)
 
 
