@@ -3,12 +3,16 @@
 Each partition tokenises its documents, cuts those longer than a sequence, and packs its pieces best-fit in
 decreasing length. Nearly full bins are final. Underfull bins go on as single items: groups of `fan_in`
 partitions pack them best-fit again, emit what is nearly full, and the rest meets in the next round, until
-one group is left. A round only moves (bin, fill) pairs, never pieces, and a group carries no more than
-`carry` bins into the next round (the emptiest; others are final as they are), so no task's memory grows
-with the input. No piece is ever dropped.
+one group is left. A round only moves (bin, fill) pairs, never pieces. No piece is ever dropped.
 
-Tokens are those of the byte-level BPE vocabulary, plus `end_id` after each document. Special tokens'
-strings in a text are ordinary text.
+What goes on is bounded and loses nothing. Best fit leaves at most one bin of a group half full or less, and
+only those can be put into others; all of them go on. Of fuller bins with the same free space, more than
+`fan_in` can't be used in one round, so `fan_in` times the rounds that there can be go on and the others are
+final. A task holds its partition's pieces as numbers, some 50 bytes each, and `ids` only with `with_ids`.
+
+Token ids are those of the tokenizers library for the vocabulary file, without added start and end tokens, plus
+`end_id` after each document. As the library does by default, the string of a special token in a text gives that
+token's id.
 
 Defined results: a null or empty text is one piece of the end token alone. Repeated rows are packed each on
 its own. An empty table gives an empty table. Only the id and text columns are read.
@@ -16,9 +20,11 @@ its own. An empty table gives an empty table. Only the id and text columns are r
 
 from __future__ import annotations
 
-import base64
+import json
+import os
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import saved, table
+from gridloom.llm.common import chunks, saved, table
+from gridloom.plans.scratch import dropped
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, offset long, fill long"
 
@@ -34,47 +41,52 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids binar
 def default_vocabulary() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
-
-
-def read_ranks(path: str) -> dict[bytes, int]:
-    with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-
-
-#: Fixed value: the pre-token pattern that goes with the vocabulary.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 class Tokens(dict):
-    """Text to token ids (little-endian 32 bits). Remembers the ids of blank-separated pieces.
+    """Texts to token ids (little-endian 32 bits). Remembers the ids of blank-separated pieces.
 
-    The pattern never matches across a blank that other white space doesn't touch, except for the blank
-    that begins a match, so such pieces can be encoded on their own.
+    The byte-level pre-tokenizer never matches across a blank that other white space doesn't touch, except for
+    the blank that begins a match, so such pieces are encoded on their own. Texts with other white space beside a
+    blank, or with a special token's string, are encoded whole.
     """
 
     most = 300_000
 
-    def __init__(self, ranks: dict[bytes, int]):
-        import tiktoken
-
-        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.odd = re.compile(r" \s")
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
 
-    def plain(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
+        self.library = Tokenizer.from_str(vocabulary)
+        known = json.loads(vocabulary)
+        kind = known["pre_tokenizer"] or {}
+        self.cut = kind.get("type") == "ByteLevel" and not kind.get("add_prefix_space") and known["normalizer"] is None
+        special = [re.escape(t["content"]) for t in known["added_tokens"]]
+        self.whole = re.compile("|".join([r" \s", r"\s \Z", *special]))
 
-    def __missing__(self, piece: str) -> bytes:
-        self[piece] = ids = self.plain(" " + piece)
-        return ids
+    def ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, text: str) -> bytes:
-        if self.odd.search(text):
-            return self.plain(text)
+    def encode(self, texts: list[str]) -> list[bytes]:
         if len(self) > self.most:
             self.clear()
-        head, *rest = text.split(" ")
-        return self.plain(head) + b"".join([self[p] for p in rest])
+        parts = [None if not self.cut or self.whole.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else None for t in texts]
+        new = [p for p in {p for some in parts if some for p in some} if p not in self]
+        self.update(zip(new, self.ids(new), strict=True))
+        odd = iter(self.ids([t for t, some in zip(texts, parts, strict=True) if some is None]))
+        return [next(odd) if some is None else b"".join([self[p] for p in some]) for some in parts]
+
+
+def tokens_of(vocabulary: str) -> Tokens:
+    """One for each Python worker, which runs many tasks: it is kept beside the library that it loads."""
+    import tokenizers
+
+    held = vars(tokenizers).setdefault("_kept", {})
+    if vocabulary not in held:
+        held.clear()
+        held[vocabulary] = Tokens(vocabulary)
+    return held[vocabulary]
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,55 +124,62 @@ def pieces_of(total: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, head)] + [(s, capacity) for s in range(head, total, capacity)]
 
 
-def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, with_ids: bool = False, slack: int = 16, fan_in: int = 8, carry: int = 20_000, local_items: int = 200_000) -> DataFrame:
+def going_on(fills: np.ndarray, capacity: int, slack: int, partners: int) -> np.ndarray:
+    """Which bins later rounds can use: all at most half full, and of fuller ones `partners` of each free space."""
+    order = np.argsort(fills, kind="stable")
+    same = fills[order]
+    place = np.arange(len(fills)) - np.searchsorted(same, same)
+    out = np.zeros(len(fills), dtype=bool)
+    out[order] = (same < capacity - slack) & ((2 * same <= capacity) | (place < partners))
+    return out
+
+
+def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int = 2048, end_id: int = 0, vocabulary: str | None = None, with_ids: bool = False, slack: int = 16, fan_in: int = 8) -> DataFrame:
     """`(id, piece, start, length, ids_crc32, sequence_id, offset)`, one row per piece, and `ids` with `with_ids`.
 
-    `slack`: a bin with at most so much free space is nearly full. `local_items`: pieces that a partition
-    packs at once.
+    `slack`: a bin with at most so much free space is nearly full. `vocabulary`: a file of the tokenizers library.
     """
     if capacity < 1 or fan_in < 2 or slack < 0:
         raise ValueError("capacity must be positive, fan_in at least 2, slack not negative")
-    sc = docs.sparkSession.sparkContext
-    ranks = sc.broadcast(read_ranks(vocabulary or default_vocabulary()))
+    with open(vocabulary or default_vocabulary(), encoding="utf-8") as f:
+        shared = docs.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
     end = np.array([end_id], dtype="<u4").tobytes()
-
-    nearly = capacity - slack
-
-    def carried(fills: np.ndarray) -> np.ndarray:
-        """Which bins the next round sees: underfull ones, the emptiest `carry` of them."""
-        out, underfull = np.zeros(len(fills), dtype=bool), np.flatnonzero(fills < nearly)
-        out[underfull[np.argsort(fills[underfull], kind="stable")[:carry]]] = True
-        return out
+    rounds = 1
+    while fan_in**rounds < 1 << 31:  # partitions that Spark can count
+        rounds += 1
+    partners = fan_in * rounds
 
     def local(batches):
-        tokens, part = Tokens(ranks.value), TaskContext.get().partitionId()
-        rows: list[tuple] = []
-        made = 0
-
-        def flush():
-            nonlocal made
-            bins, offsets, fills = best_fit(np.array([r[3] for r in rows], dtype=np.int64), capacity)
-            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
-            goes_on = carried(fills)
-            columns += [pa.array((part << 32) + made + bins), pa.array(offsets), pa.array(np.where(goes_on, fills, capacity)[bins])]
-            made += len(fills)
-            whole = pa.RecordBatch.from_arrays(columns, ["id", "piece", "start", "length", "ids_crc32", "ids", "bin", "offset", "fill"])
-            rows.clear()
-            for at in range(0, whole.num_rows, 10_000):
-                yield whole.slice(at, 10_000)
-
-        for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tokens.encode(t or "") + end
+        tokens, part = tokens_of(shared.value), TaskContext.get().partitionId()
+        known, id_, piece, start, length, crc, own = array("b"), array("q"), array("i"), array("q"), array("q"), array("q"), []
+        for some in chunks(batches, "text"):
+            texts = [t or "" for t in some.column(1).to_pylist()]
+            for d, ids in zip(some.column(0).to_pylist(), tokens.encode(texts), strict=True):
+                ids += end
                 for k, (s, n) in enumerate(pieces_of(len(ids) // 4, capacity)):
-                    own = ids[4 * s : 4 * (s + n)]
-                    rows.append((d, k, s, n, zlib.crc32(own), own if with_ids else None))
-                if len(rows) >= local_items:
-                    yield from flush()
-        if rows:
-            yield from flush()
-
-    pieces = saved(docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(local, PIECES))
+                    these = ids[4 * s : 4 * (s + n)]
+                    known.append(d is not None)
+                    id_.append(d or 0)
+                    piece.append(k)
+                    start.append(s)
+                    length.append(n)
+                    crc.append(zlib.crc32(these))
+                    if with_ids:
+                        own.append(these)
+        if not len(piece):
+            return
+        bins, offsets, fills = best_fit(np.asarray(length), capacity)
+        first, mask = part << 32, np.asarray(known) == 0
+        whole = [pa.array(np.asarray(id_), mask=mask), pa.array(np.asarray(piece)), *[pa.array(np.asarray(c)) for c in (start, length, crc)], pa.array(own, pa.binary()) if with_ids else pa.nulls(len(piece), pa.binary()), pa.array(first + bins), pa.array(offsets), pa.nulls(len(piece), pa.int64())]
+        names = ["id", "piece", "start", "length", "ids_crc32", "ids", "bin", "offset", "fill"]
+        for at in range(0, len(piece), 10_000):
+            yield pa.RecordBatch.from_arrays([c.slice(at, 10_000) for c in whole], names)
+        # one row more for each bin that goes on, with piece -1
+        on = np.flatnonzero(going_on(fills, capacity, slack, partners))
+        none = pa.nulls(len(on), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(np.full(len(on), -1, np.int32)), none, none, none, pa.nulls(len(on), pa.binary()), pa.array(first + on), none, pa.array(fills[on])], names)
+
+    made = saved(docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(local, PIECES))
 
     def merge(key, group):
         items = group.sort_by([("fill", "descending"), ("bin", "ascending")])
@@ -168,11 +187,10 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
         bins, offsets, fills = best_fit(fill, capacity)
         opener = np.zeros(len(fills), dtype=np.int64)
         opener[bins[offsets == 0]] = name[offsets == 0]
-        return pa.table({"bin": name, "parent": opener[bins], "base": offsets, "fill": fills[bins], "open": carried(fills)[bins]})
+        return pa.table({"bin": name, "parent": opener[bins], "base": offsets, "fill": fills[bins], "open": going_on(fills, capacity, slack, partners)[bins]})
 
-    # One row for each underfull bin that goes on; pieces of other bins are not touched again.
-    open_bins = pieces.where((F.col("offset") == 0) & (F.col("fill") < nearly)).select("bin", "fill")
-    places = saved(open_bins.select("bin", F.col("bin").alias("parent"), F.lit(0).cast("long").alias("base"), "fill", F.lit(True).alias("open")))
+    # One row for each underfull bin that goes on; pieces are not touched again.
+    places = saved(made.where("piece = -1").select("bin", F.col("bin").alias("parent"), F.lit(0).cast("long").alias("base"), "fill", F.lit(True).alias("open")))
     width = (places.agg(F.max(F.shiftright("bin", 32))).first()[0] or 0) + 1
     reach = 1
     while reach < width * fan_in:
@@ -181,10 +199,12 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
         step = ready.groupBy("group").applyInArrow(merge, "bin long, parent long, base long, fill long, open boolean")
         step = step.select(F.col("bin").alias("parent"), F.col("parent").alias("_parent"), F.col("base").alias("_base"), F.col("fill").alias("_fill"), F.col("open").alias("_open"))
         moved = places.join(step, "parent", "left")
+        before = places
         places = saved(moved.select("bin", F.coalesce("_parent", "parent").alias("parent"), (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base"), F.coalesce("_fill", "fill").alias("fill"), F.coalesce("_open", F.lit(False)).alias("open")))
+        dropped(before)
         if reach >= width:
             break
-    placed = pieces.join(places.select("bin", "parent", "base"), "bin", "left")
+    placed = made.where("piece >= 0").join(places.select("bin", "parent", "base"), "bin", "left")
     out = [F.col("id").alias(id), "piece", "start", "length", "ids_crc32", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("offset") + F.coalesce("base", F.lit(0))).alias("offset")]
     return placed.select(*out, *(["ids"] if with_ids else []))
 

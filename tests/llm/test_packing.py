@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm.packing import best_fit, pack, pieces_of, query
+from gridloom.llm.packing import best_fit, going_on, pack, pieces_of, query
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -14,7 +14,6 @@ def check(rows, texts, capacity=2048, key="doc_id"):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: [*e.ids, 0] for d, e in zip(texts, t.encode_batch([x or "" for x in texts.values()], add_special_tokens=False), strict=True)}
     pieces, bins = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -51,7 +50,7 @@ def test_rounds_merge_partitions(spark):
 
 
 def test_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, " "), (4, "a  b \n c\t d \n"), (5, "<|endoftext|> it's 12 x y z  "), (6, "é" * 5000), (7, "\n\n a\n b"), (8, "x " * 9000), (9, " lead"), (10, "a\x1c b \x85 c")]
+    rows = [(1, None), (2, ""), (3, " "), (4, "a  b \n c\t d \n"), (5, "<|endoftext|> it's 12 x y z  "), (6, "é" * 5000), (7, "\n\n a\n b"), (8, "x " * 9000), (9, " lead"), (10, "a\x1c b \x85 c"), (11, "a b\n "), (12, "x <|endoftext|>y<|endoftext|> <|endoftext |> z"), (13, "nul \0 in \0it")]
     docs = spark.createDataFrame([(a, b, "s", "z") for a, b in rows], "doc_id long, text string, piece string, bin string")
     check(pack(docs).collect(), dict(rows))
     assert pack(docs.limit(0)).count() == 0
@@ -73,3 +72,37 @@ def test_best_fit_against_search():
             want.append(n)
     assert sorted(want) == sorted(fills.tolist())
     assert pieces_of(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)] and pieces_of(2048, 2048) == [(0, 2048)]
+
+
+def test_special_strings_have_the_special_id(spark):
+    rows = pack(spark.createDataFrame([(1, "a<|endoftext|> b")], "doc_id long, text string"), with_ids=True).collect()
+    assert np.frombuffer(rows[0]["ids"], "<u4").tolist() == [64, 50256, 275, 0]
+
+
+def test_what_goes_on_is_enough():
+    rng = np.random.default_rng(2)
+    for _ in range(20):  # three levels of two groups each, with and without the bound
+        results = []
+        groups = [rng.integers(1, 60, rng.integers(1, 80)) for _ in range(8)]
+        for partners in (10**9, 2 * 31):
+            level, final = [best_fit(g, 100)[2] for g in groups], 0
+            while len(level) > 1:
+                merged = []
+                for a, b in zip(level[::2], level[1::2], strict=True):
+                    on = [f[going_on(f, 100, 4, partners)] for f in (a, b)]
+                    final += len(a) + len(b) - sum(map(len, on))
+                    merged.append(best_fit(np.concatenate(on), 100)[2])
+                level = merged
+            results.append(final + len(level[0]))
+        assert results[0] == results[1]
+    fills = np.array([10, 60, 60, 60, 97, 50])
+    assert going_on(fills, 100, 4, 2).tolist() == [True, True, True, False, False, True]
+
+
+def test_partitions_cost_little(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "word " * int(n)) for i, n in enumerate(rng.integers(1, 1900, 4000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    bins = {r["sequence_id"] for r in pack(docs).collect()}
+    least = -(-sum(len(t) // 5 + 2 for _, t in rows) // 2048)
+    assert len(bins) <= 1.015 * least  # a partition of 1,000 documents wastes some five sequences, whatever its size
