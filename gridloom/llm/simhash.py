@@ -10,13 +10,24 @@ however large it is. Under a key no pairs are listed: a breadth-first search tha
 fingerprints not yet reached gives one edge per fingerprint. Components are then found by distributed
 star contraction.
 
+A task never holds more than `most` fingerprints of a key. A key that has more passes them on, and the bits that
+they don't share yet are split into blocks in the same way: close pairs agree on some choice of these too. Every level
+fixes at least three in seven of the bits left, so after a few levels a key can't have more different fingerprints.
+
+`near_copies` is for the corpus pipeline, where texts count as near copies from a Jaccard of 0.8 of their shingle sets.
+Such pairs differ in 39 of 256 bits on average (10 of 64): blocks of which one must stay whole would be five bits wide
+and hold a thirtieth of all texts each, so pigeonhole blocks can't find them. It joins the sets' rarest shingles instead,
+uses SimHash bits as a wide cut, and verifies sets exactly.
+
 Defined results: a null or empty text has the fingerprint zero and is linked like any other. A text of
 fewer words than a shingle is one shingle. Repeated rows give repeated results; rows with the same id are
-one node. A null id takes part but never names a component: one of null ids alone has a null component.
+one node. A null id takes part but never names a component: one of null ids alone has a null component. Columns other
+than id and text are never read; `representatives` passes them through, whatever their names.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -25,8 +36,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Words, chunks, runs, saved, table, texts
+from gridloom.llm.common import Rolling, Words, chunks, mix64, runs, saved, shielded, table, texts
 from gridloom.llm.graph import components
+from gridloom.plans.scratch import dropped
 
 SEED = 42
 #: Ids of distinct fingerprints that only rows with a null id have lie above this.
@@ -61,150 +73,223 @@ def majority(hashes: np.ndarray, document: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, lanes: int = 1) -> DataFrame:
-    """`(id, text_key, fp0, fp1, ...)`: a hash that tells texts of one id apart, and 64 bits for each lane. Lane 0 is XXH64's; others rehash the same shingle hashes."""
+def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4) -> DataFrame:
+    """`(id, text_key, fp)`: a hash that tells texts of one id apart, and 64 bits."""
 
     def make(batches):
-        from gridloom.llm.common import mix64
-
         for part in chunks(batches, "text"):
             hashes, document = shingle_hashes(Words(texts(part), lower=True), shingle)
-            columns = [part.column(0), part.column(2)]
-            for lane in range(lanes):
-                h = hashes if not lane else mix64(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
-                columns.append(pa.array(majority(h, document, part.num_rows).view(np.int64)))
-            yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", *(f"fp{i}" for i in range(lanes))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(majority(hashes, document, part.num_rows).view(np.int64))], ["id", "text_key", "fp"])
 
     body = F.col(f"`{text}`").cast("string")
     rows = docs.select(F.col(f"`{id}`").cast("long").alias("id"), body.alias("text"), F.xxhash64(body).alias("text_key"))
-    return rows.mapInArrow(make, "id long, text_key long, " + ", ".join(f"fp{i} long" for i in range(lanes)))
+    return rows.mapInArrow(make, "id long, text_key long, fp long")
 
 
-def pigeonhole_masks(distance: int, blocks: int) -> list[tuple[int, int]]:
-    """`(lane, mask)` for every choice of blocks of which a close pair keeps one choice whole."""
-    if not 0 <= distance < blocks <= 64:
-        raise ValueError("need 0 <= distance < blocks <= 64")
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    block = [((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
-    return [(0, sum(choice)) for choice in combinations(block, blocks - distance)]
+@cache
+def pigeonhole_masks(distance: int, blocks: int, fixed: int = 0) -> tuple[int, ...]:
+    """`fixed` and one choice of blocks of the other bits, for every choice that a close pair may keep whole."""
+    free = [b for b in range(64) if not fixed >> b & 1]
+    cuts = [len(free) * i // blocks for i in range(blocks + 1)]
+    block = [sum(1 << x for x in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    return tuple(fixed + sum(choice) for choice in combinations(block, blocks - distance))
 
 
-def spanning_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Edges that connect what pairs within `distance` connect; each row is reached once.
+def spanning(n: int, near) -> list[tuple[int, int]]:
+    """Edges that connect what `near(at, left)` connects; each of n rows is reached once.
 
     A row that was reached is never compared again with others that were, so a dense group costs about one
     comparison for each member, and memory is a few times the group.
     """
-    return spanning(len(values), lambda at, left: np.bitwise_count(values[left] ^ values[at]).sum(axis=1) <= distance)
+    left, edges = np.arange(n), []
+    while len(left):
+        front, left = [int(left[0])], left[1:]
+        while front and len(left):
+            at = front.pop()
+            close = near(at, left)
+            if close.any():
+                reached = left[close].tolist()
+                edges += [(at, b) for b in reached]
+                front += reached
+                left = left[~close]
+    return edges
 
 
-def linked(distinct: DataFrame, masks: list[tuple[int, int]], distance: int, lanes: int) -> DataFrame:
-    """`distinct (node, fp0, ...)` to edges `(u, v)` that join every two fingerprints that meet under a key."""
-    fps = [f"fp{i}" for i in range(lanes)]
+def spanning_links(values: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Edges that connect what pairs of fingerprints within `distance` connect."""
+    return spanning(len(values), lambda at, left: np.bitwise_count(values[left] ^ values[at]) <= distance)
 
-    def link(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
+
+def bucketed(batches, most: int, splits=lambda columns: True):
+    """Batches sorted by their first column to `(columns, starts, stops)` of runs with at most `most` rows, and to
+    `(columns, None, None)` for the rows of longer ones, in parts.
+
+    `splits(columns)` says of a run's first rows whether it can be split elsewhere; if not it is a run whatever its size.
+    """
+    rest, long_key = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        data = [np.asarray(c) for c in batch.columns]
+        if long_key is not None:
+            n = int(np.searchsorted(data[0] != long_key, True)) if data[0][-1] != long_key else len(data[0])
+            if n:
+                yield [c[:n] for c in data], None, None
+            if n == len(data[0]):
                 continue
-            data = [np.asarray(c) for c in batch.columns]
-            if rest is not None:
-                data = [np.concatenate(x) for x in zip(rest, data, strict=True)]
-            starts, stops = runs(data[0])
-            cut = starts[-1]  # the last run may go on in the next batch
-            rest = [c[cut:] for c in data]
-            yield from found(data, starts[:-1], stops[:-1])
+            data, long_key = [c[n:] for c in data], None
         if rest is not None:
-            yield from found(rest, *runs(rest[0]))
-
-    def found(data, starts, stops):
-        node, values = data[1], np.stack([c.view(np.uint64) for c in data[2:]], axis=1)
-        u, v = [], []
-        two = starts[stops - starts == 2]
-        near = two[np.bitwise_count(values[two] ^ values[two + 1]).sum(axis=1) <= distance] if len(two) else two
-        u.append(node[near])
-        v.append(node[near + 1])
-        many = stops - starts > 2
-        for a, b in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
-            if edges := spanning_links(values[a:b], distance):
-                pair = np.array(edges) + a
-                u.append(node[pair[:, 0]])
-                v.append(node[pair[:, 1]])
-        pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    signed = [m - (1 << 64) if m >= 1 << 63 else m for _, m in masks]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col(f"fp{lane}").bitwiseAND(F.lit(m).cast("long"))) for i, ((lane, _), m) in enumerate(zip(masks, signed, strict=True))])
-    keyed = distinct.select(F.explode(keys).alias("key"), "node", *fps)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 7, lanes: int = 1, masks: list[tuple[int, int]] | None = None) -> DataFrame:
-    """One row `(id, text_key, fp0.., component, group)` per input row; `component` is the smallest id that
-    links reach, and `group` the same or, of null ids alone, a number of its own.
-
-    With `lanes` of 64 bits each, `distance` is over all lanes and `masks` names the bits of each join key;
-    the default masks are the pigeonhole's, for one lane.
-    """
-    masks = masks or pigeonhole_masks(distance, blocks)
-    fps = [f"fp{i}" for i in range(lanes)]
-    rows = saved(fingerprints(docs, id, text, shingle, lanes))
-    nameless = F.lit(NAMELESS).cast("long").bitwiseOR(F.shiftrightunsigned(F.xxhash64(*fps), 2))
-    distinct = saved(rows.groupBy(*fps).agg(F.min("id").alias("id")).select(F.coalesce("id", nameless).alias("node"), *fps))
-    roots = components(linked(distinct, masks, distance, lanes)).withColumnRenamed("node", "_node")
-    named = distinct.join(roots, F.col("node") == F.col("_node"), "left").select(*fps, F.coalesce("root", "node").alias("root"))
-    merged = rows.join(named, fps).select("id", "text_key", *fps, F.when(F.col("root") < NAMELESS, F.col("root")).alias("component"), F.col("root").alias("group"))
+            data = [np.concatenate(x) for x in zip(rest, data, strict=True)]
+        starts, stops = runs(data[0])
+        long = [k for k in np.flatnonzero(stops - starts > most).tolist() if splits([c[starts[k] : stops[k]] for c in data])]
+        for k in long:
+            yield [c[starts[k] : stops[k]] for c in data], None, None
+        last = len(starts) - 1
+        ready = np.ones(len(starts), dtype=bool)
+        ready[[*long, last]] = False
+        yield data, starts[ready], stops[ready]
+        rest = None if last in long else [c[starts[last] :] for c in data]
+        long_key = data[0][-1] if last in long else None
+    if rest is not None:
+        yield rest, *runs(rest[0])
+
+
+def run_edges(node: np.ndarray, starts: np.ndarray, stops: np.ndarray, near) -> np.ndarray:
+    """Edges by `near(at, left)` of row numbers inside each run, as an array of node pairs without repeats."""
+    two = starts[stops - starts == 2]
+    two = two[near(two, two + 1)] if len(two) else two
+    u, v = [node[two]], [node[two + 1]]
+    many = stops - starts > 2
+    for a, b in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
+        if edges := spanning(b - a, lambda at, left, a=a: near(at + a, left + a)):
+            pair = np.array(edges) + a
+            u.append(node[pair[:, 0]])
+            v.append(node[pair[:, 1]])
+    return np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
+
+
+def linked(distinct: DataFrame, distance: int, blocks: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """`distinct (node, fp)` to edges `(u, v)` that connect all fingerprints within `distance`, and the tables read for it."""
+    if not 0 <= distance < blocks <= 64:
+        raise ValueError("need 0 <= distance < blocks <= 64")
+
+    def keyed(batches):
+        for batch in batches:
+            node, fp, fixed = (np.asarray(c) for c in batch.columns)
+            fp, fixed = fp.view(np.uint64), fixed.view(np.uint64)
+            for m in np.unique(fixed).tolist():
+                own = fixed == m
+                for mask in np.array(pigeonhole_masks(distance, blocks, m), dtype=np.uint64):
+                    key = mix64((fp[own] & mask) ^ mix64(np.full(int(own.sum()), mask)))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[own]), pa.array(fp[own].view(np.int64)), pa.array(np.full(len(key), mask).view(np.int64))], ["key", "node", "fp", "mask"])
+
+    def splits(columns) -> bool:
+        return 64 - int(np.bitwise_count(columns[3][:1].view(np.uint64))[0]) >= blocks
+
+    def link(batches):
+        for data, starts, stops in bucketed(batches, most, splits):
+            if starts is None:  # rows for the next level
+                none = pa.nulls(len(data[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(data[1]), none, pa.array(data[2]), pa.array(data[3])], ["u", "v", "fp", "mask"])
+                continue
+            values = data[2].view(np.uint64)
+            pairs = run_edges(data[1], starts, stops, lambda at, left, values=values: np.bitwise_count(values[left] ^ values[at]) <= distance)
+            if len(pairs):
+                none = pa.nulls(len(pairs), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), none, none], ["u", "v", "fp", "mask"])
+
+    todo, steps = distinct.select("node", "fp", F.lit(0).cast("long").alias("mask")), []
+    while True:
+        rows = todo.mapInArrow(keyed, "key long, node long, fp long, mask long")
+        steps.append(saved(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(link, "u long, v long, fp long, mask long")))
+        rest = steps[-1].where("v IS NULL")
+        if rest.isEmpty():
+            break
+        todo = rest.select(F.col("u").alias("node"), "fp", "mask")
+    edges = steps[0].where("v IS NOT NULL").select("u", "v")
+    for step in steps[1:]:
+        edges = edges.union(step.where("v IS NOT NULL").select("u", "v"))
+    return edges, steps
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 4, blocks: int = 7, most: int = 4096) -> DataFrame:
+    """One row `(id, text_key, fp, component, group)` per input row; `component` is the smallest id that
+    links reach, and `group` the same or, of null ids alone, a number of its own."""
+    rows = saved(fingerprints(docs, id, text, shingle))
+    nameless = F.lit(NAMELESS).cast("long").bitwiseOR(F.shiftrightunsigned(F.xxhash64("fp"), 2))
+    distinct = saved(rows.groupBy("fp").agg(F.min("id").alias("id")).select(F.coalesce("id", nameless).alias("node"), "fp"))
+    edges, steps = linked(distinct, distance, blocks, most)
+    roots = components(edges).withColumnRenamed("node", "_node")
+    dropped(*steps)
+    named = distinct.join(roots, F.col("node") == F.col("_node"), "left").select("fp", F.coalesce("root", "node").alias("root"))
+    merged = rows.join(named, "fp").select("id", "text_key", "fp", F.when(F.col("root") < NAMELESS, F.col("root")).alias("component"), F.col("root").alias("group"))
     return merged.withColumnRenamed("id", id)
 
 
 def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The different shingle hashes of every text in order, and where each text's begin."""
-    hashes, document = shingle_hashes(words, size)
+    first = words.first
+    count = np.diff(first)
+    n = np.where(count == 0, 0, np.maximum(count - size + 1, 1))
+    document = np.repeat(np.arange(len(count)), n)
+    start = np.repeat(first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    stop = np.minimum(start + size, first[document + 1]) - 1
+    hashes = Rolling(words.buffer).spans(words.begin[start], words.end[stop]) if len(start) else np.zeros(0, np.uint64)
     order = np.lexsort((hashes, document))
     hashes, document = hashes[order], document[order]
-    first = np.ones(len(hashes), dtype=bool)
-    first[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
-    at = np.zeros(len(words.first), dtype=np.int64)
-    np.cumsum(np.bincount(document[first], minlength=len(at) - 1), out=at[1:])
-    return hashes[first], at
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
+    at = np.zeros(len(first), dtype=np.int64)
+    np.cumsum(np.bincount(document[new], minlength=len(at) - 1), out=at[1:])
+    return hashes[new], at
 
 
-def common_shingles(docs: DataFrame, text: str, shingle: int, sample: int = 10_000, least: int = 10, most: int = 50_000) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of shingles that `least` of about `sample` texts have, ascending, and their counts."""
+def slot_counts(docs: DataFrame, text: str, shingle: int, slots: int) -> np.ndarray:
+    """In how many texts the shingles of each of `2**slots` slots occur, over all documents.
 
-    def make(batches):
+    A task sends one packed array, sixteen tasks add them up, and the driver adds up sixteen.
+    """
+
+    def unpacked(batches):
+        total = np.zeros(1 << slots, dtype=np.int64)
+        for batch in batches:
+            for blob in batch.column(0):
+                total += np.frombuffer(pa.decompress(blob.as_py(), decompressed_size=total.nbytes, codec="zstd", asbytes=True), dtype=np.int64)
+        return total
+
+    def packed(total):
+        return pa.RecordBatch.from_arrays([pa.array([pa.compress(total.tobytes(), codec="zstd", asbytes=True)], pa.binary())], ["counts"])
+
+    def count(batches):
+        total = np.zeros(1 << slots, dtype=np.int64)
         for part in chunks(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(Words(texts(part), lower=True), shingle)[0].view(np.int64))], ["h"])
+            hashes, _ = shingle_sets(Words(texts(part), lower=True), shingle)
+            total += np.bincount((hashes >> np.uint64(64 - slots)).astype(np.int64), minlength=len(total))
+        yield packed(total)
+
+    def add(batches):
+        yield packed(unpacked(batches))
 
-    share = min(1.0, sample / max(1, docs.count()))
-    some = docs.select(F.col(f"`{text}`").cast("string").alias("text")).sample(share, SEED)
-    found = some.mapInArrow(make, "h long").groupBy("h").count().where(F.col("count") >= least).orderBy(F.desc("count"), "h").limit(most).toArrow()
-    hashes, counts = np.array(found.column("h"), dtype=np.int64).view(np.uint64), np.array(found.column("count"), dtype=np.int64)
-    order = np.argsort(hashes)
-    return hashes[order], counts[order]
+    sums = docs.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(count, "counts binary").repartition(16).mapInArrow(add, "counts binary").toArrow()
+    return unpacked(sums.to_batches())
 
 
-def prefixes(hashes: np.ndarray, at: np.ndarray, common: tuple[np.ndarray, np.ndarray], part: int, of: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first hashes of every text in one order of all hashes, rare ones first: as many as two sets with a
+def prefixes(hashes: np.ndarray, at: np.ndarray, counts: np.ndarray, part: int, of: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first hashes of every text in one order of all hashes, rare slots first: as many as two sets with a
     Jaccard of `part / of` can't do without one in common. Also how many each text has."""
     size = np.diff(at)
     count = np.where(size > 0, size - -(-part * size // of) + 1, 0)
     document = np.repeat(np.arange(len(size)), size)
-    if len(common[0]):
-        near = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-        rank = np.where(common[0][near] == hashes, common[1][near], 0)
-        hashes = hashes[np.lexsort((hashes, rank, document))]
+    rank = counts[(hashes >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
+    hashes = hashes[np.lexsort((hashes, rank, document))]
     return hashes[np.arange(len(hashes)) - at[document] < count[document]], count
 
 
-def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, part: int, of: int) -> DataFrame:
+def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, part: int, of: int, slots: int) -> DataFrame:
     """`(id, text_key, node, size, fp0.., keys)`: a hash and the size of the set of shingles, the set's SimHash, and its prefix."""
-    common = common_shingles(docs, text, shingle)
+    counts = docs.sparkSession.sparkContext.broadcast(slot_counts(docs, text, shingle, slots))  # `2**slots` numbers
 
     def make(batches):
-        from gridloom.llm.common import mix64
-
         for some in chunks(batches, "text"):
             hashes, at = shingle_sets(Words(texts(some), lower=True), shingle)
             n, size = some.num_rows, np.diff(at)
@@ -214,7 +299,7 @@ def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, pa
             for lane in range(lanes):
                 h = hashes if not lane else mix64(hashes + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64)))
                 columns.append(pa.array(majority(h, document, n).view(np.int64)))
-            keys, count = prefixes(hashes, at, common, part, of)
+            keys, count = prefixes(hashes, at, counts.value, part, of)
             columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(count))), pa.int32()), pa.array(keys.view(np.int64))))
             yield pa.RecordBatch.from_arrays(columns, ["id", "text_key", "node", "size", *(f"fp{i}" for i in range(lanes)), "keys"])
 
@@ -223,80 +308,52 @@ def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, pa
     return rows.mapInArrow(make, "id long, text_key long, node long, size long, " + ", ".join(f"fp{i} long" for i in range(lanes)) + ", keys array<long>")
 
 
-def spanning(n: int, near) -> list[tuple[int, int]]:
-    """Edges that connect what `near(at, left)` connects; each of n rows is reached once."""
-    left, edges = np.arange(n), []
-    while len(left):
-        front, left = [int(left[0])], left[1:]
-        while front and len(left):
-            at = front.pop()
-            close = near(at, left)
-            if close.any():
-                reached = left[close].tolist()
-                edges += [(at, b) for b in reached]
-                front += reached
-                left = left[~close]
-    return edges
-
-
-def grouped(batches):
-    """Columns of each run of equal values in the first column, which is sorted; a run may cross batches."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rest = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        starts, stops = runs(rest.column(0).to_numpy())
-        for a, b in zip(starts[:-1].tolist(), stops[:-1].tolist(), strict=True):
-            yield rest.slice(a, b - a)
-        rest = rest.slice(starts[-1])
-    if rest is not None:
-        yield rest
-
+def in_blocks(rows: DataFrame, key: str, most: int, weight: str | None = None, most_weight: int = 1) -> DataFrame:
+    """Rows with another `key` each, so that any two rows of one old key meet under a new one, which has at most about
+    `2 * most` rows or a weight of `2 * most_weight`.
 
-def candidates(distinct: DataFrame, lanes: int, cut: int, few: int, part: int, of: int) -> DataFrame:
-    """Edges `(u, v)` that join what shares a prefix key, has sizes that allow the Jaccard, and differs in at most
-    `cut` bits; sets of at most `few` shingles have no reliable bits and need only the first two."""
+    A key with more is dealt into blocks by a hash of `node`, and its rows go to every pair of blocks with their own.
+    """
+    parts = F.ceil(F.count("*") / most)
+    if weight:
+        parts = F.greatest(parts, F.ceil(F.sum(weight) / most_weight))
+    counts = rows.groupBy(key).agg(parts.cast("int").alias("_parts"))
+    block = F.pmod(F.xxhash64("node"), F.col("_parts"))
+    dealt = rows.join(counts, key).select("*", block.alias("_block"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
+    return dealt.withColumn(key, F.xxhash64(key, F.least("_block", "_other"), F.greatest("_block", "_other"))).drop("_parts", "_block", "_other")
+
+
+def candidates(distinct: DataFrame, lanes: int, cut: int, few: int, part: int, of: int, most: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges `(u, v)` that connect what shares a prefix key, has sizes that allow the Jaccard, and differs in at most
+    `cut` bits; sets of at most `few` shingles have no reliable bits and need only the first two. Also the tables read for it."""
     fps = [f"fp{i}" for i in range(lanes)]
+    kept = ["key", "node", "size", *fps]
 
-    def link(batches):
-        rest = None
-        for batch in batches:
-            if not batch.num_rows:
+    def link(batches, splits):
+        for data, starts, stops in bucketed(batches, most, lambda columns: splits):
+            if starts is None:
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(data[0]), pa.int64())] * 2 + [pa.array(c) for c in data], ["u", "v", *kept])
                 continue
-            data = [np.asarray(c) for c in batch.columns]
-            if rest is not None:
-                data = [np.concatenate(x) for x in zip(rest, data, strict=True)]
-            starts, stops = runs(data[0])
-            last = starts[-1]  # the last run may go on in the next batch
-            rest = [c[last:] for c in data]
-            yield from found(data, starts[:-1], stops[:-1])
-        if rest is not None:
-            yield from found(rest, *runs(rest[0]))
+            size, values = data[2], np.stack([c.view(np.uint64) for c in data[3:]], axis=1)
 
-    def found(data, starts, stops):
-        node, size, values = data[1], data[2], np.stack([c.view(np.uint64) for c in data[3:]], axis=1)
+            def near(at, left, size=size, values=values):
+                small, large = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
+                bits = np.bitwise_count(values[left] ^ values[at]).sum(axis=-1)
+                return (of * small >= part * large) & ((bits <= cut) | (small <= few))
 
-        def near(at, left):
-            small, large = np.minimum(size[left], size[at]), np.maximum(size[left], size[at])
-            bits = np.bitwise_count(values[left] ^ values[at]).sum(axis=-1)
-            return (of * small >= part * large) & ((bits <= cut) | (small <= few))
+            pairs = run_edges(data[1], starts, stops, near)
+            if len(pairs):
+                none = [pa.nulls(len(pairs), pa.int64())] * len(kept)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], ["u", "v", *kept])
 
-        two = starts[stops - starts == 2]
-        two = two[near(two, two + 1)] if len(two) else two
-        u, v = [node[two]], [node[two + 1]]
-        many = stops - starts > 2
-        for a, b in zip(starts[many].tolist(), stops[many].tolist(), strict=True):
-            if edges := spanning(b - a, lambda at, left, a=a: near(at + a, left + a)):
-                pair = np.array(edges) + a
-                u.append(node[pair[:, 0]])
-                v.append(node[pair[:, 1]])
-        pairs = np.unique(np.stack([np.concatenate(u), np.concatenate(v)], axis=1), axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
-    keyed = distinct.select(F.explode("keys").alias("key"), "node", "size", *fps)
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(link, "u long, v long")
+    schema = "u long, v long, " + ", ".join(f"{c} long" for c in kept)
+    step = lambda rows, splits: saved(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(lambda b: link(b, splits), schema))
+    steps = [step(distinct.select(F.explode("keys").alias("key"), "node", "size", *fps), True)]
+    rest = steps[0].where("u IS NULL").select(*kept)
+    if not rest.isEmpty():
+        steps.append(step(in_blocks(rest, "key", most), False))
+    edges = steps[0].where("u IS NOT NULL").select("u", "v")
+    return (edges.union(steps[1].select("u", "v")) if len(steps) > 1 else edges), steps
 
 
 def similar_sets(hashes: np.ndarray, at: np.ndarray, part: int, of: int) -> list[tuple[int, int]]:
@@ -320,8 +377,26 @@ def similar_sets(hashes: np.ndarray, at: np.ndarray, part: int, of: int) -> list
     return spanning(len(size), near)
 
 
-def verified(members: DataFrame, shingle: int, part: int, of: int) -> DataFrame:
-    """`members (root, node, text)`, one text for each set, to edges `(u, v)` of an exact Jaccard inside each root."""
+def grouped(batches):
+    """Columns of each run of equal values in the first column, which is sorted; a run may cross batches."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        starts, stops = runs(batch.column(0).to_numpy())
+        if rest and rest[0].column(0)[0] != batch.column(0)[0]:
+            yield pa.Table.from_batches(rest)
+            rest = []
+        for a, b in zip(starts[:-1].tolist(), stops[:-1].tolist(), strict=True):
+            yield pa.Table.from_batches([*rest, batch.slice(a, b - a)])
+            rest = []
+        rest.append(batch.slice(starts[-1]))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def verified(members: DataFrame, shingle: int, part: int, of: int, most: int, most_shingles: int) -> DataFrame:
+    """`members (root, node, size, text)`, one text for each set, to edges `(u, v)` of an exact Jaccard inside each root."""
 
     def make(batches):
         for group in grouped(batches):
@@ -336,23 +411,30 @@ def verified(members: DataFrame, shingle: int, part: int, of: int) -> DataFrame:
                 pair = np.array(edges)
                 yield pa.RecordBatch.from_arrays([pa.array(node[pair[:, 0]]), pa.array(node[pair[:, 1]])], ["u", "v"])
 
-    return members.select("root", "node", "text").repartition("root").sortWithinPartitions("root", "node").mapInArrow(make, "u long, v long")
+    dealt = in_blocks(members.select("root", "node", "size", "text"), "root", most, "size", most_shingles).drop("size")
+    return dealt.repartition("root").sortWithinPartitions("root", "node").mapInArrow(make, "u long, v long")
 
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, cut: int = 76, few: int = 48, part: int = 4, of: int = 5) -> DataFrame:
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, cut: int = 76, few: int = 48, part: int = 4, of: int = 5, slots: int = 20, most: int = 4096, most_members: int = 2000, most_shingles: int = 500_000) -> DataFrame:
     """`(id, text_key, group)`: rows whose sets of shingles are linked by Jaccards of `part / of` or more share a group.
 
     Candidates come from prefixes of the sets, which no such pair escapes, and from a cut on SimHash bits that is
-    wide for it; they only name groups in which links are then looked for by exact Jaccard.
+    wide for it; they only name groups in which links are then looked for by exact Jaccard. Keys and groups beyond
+    `most`, `most_members` and `most_shingles` are dealt into blocks, each pair of which is a task of its own, so memory
+    is bounded and no pair is lost.
     """
     fps = [f"fp{i}" for i in range(lanes)]
-    rows = saved(signatures(docs, id, text, shingle, lanes, part, of))
+    rows = saved(signatures(docs, id, text, shingle, lanes, part, of, slots))
     distinct = saved(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), *[F.first(c).alias(c) for c in ("size", *fps, "keys")]))
-    loose = components(candidates(distinct, lanes, cut, few, part, of)).withColumnRenamed("node", "_node")
-    chosen = distinct.join(loose, F.col("node") == F.col("_node")).select("node", "root", F.col("text_key").alias("_key"))
+    edges, steps = candidates(distinct, lanes, cut, few, part, of, most)
+    loose = components(edges).withColumnRenamed("node", "_node")
+    dropped(*steps)
+    chosen = distinct.join(loose, F.col("node") == F.col("_node")).select("node", "root", "size", F.col("text_key").alias("_key"))
     body = F.col(f"`{text}`").cast("string")
     members = docs.select(body.alias("text"), F.xxhash64(body).alias("text_key")).join(chosen, F.col("text_key") == F.col("_key")).dropDuplicates(["node"])
-    roots = components(verified(members, shingle, part, of)).withColumnRenamed("node", "_node")
+    members = saved(members.select("root", "node", "size", "text"))
+    roots = components(verified(members, shingle, part, of, most_members, most_shingles)).withColumnRenamed("node", "_node")
+    dropped(members, distinct)
     return rows.join(roots, F.col("node") == F.col("_node"), "left").select(F.col("id").alias(id), "text_key", F.coalesce("root", "node").alias("group"))
 
 
@@ -365,12 +447,14 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     found = near_copies(docs, id, text, shingle)
     first = F.min(F.struct(F.col(f"`{id}`").isNull().alias("none"), F.col(f"`{id}`").alias("id"), F.col("text_key")))
     kept = found.groupBy("group").agg(first.alias("own")).select(F.col("own.id").alias("_id"), F.col("own.text_key").alias("_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    stays = keyed.join(kept, F.col(f"`{id}`").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return stays.dropDuplicates([id, "_text_key"]).drop("_text_key")
+    keyed, back = shielded(docs, ["_id", "_key", "_row_id", "_text_key"])
+    own_id, own_text = back[docs.columns.index(id)], back[docs.columns.index(text)]
+    keyed = keyed.select("*", own_id.cast("long").alias("_row_id"), F.xxhash64(own_text.cast("string")).alias("_text_key"))
+    stays = keyed.join(kept, F.col("_row_id").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
+    return stays.dropDuplicates(["_row_id", "_text_key"]).select(*back)
 
 
 def query(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = near_duplicates(docs, shingle=4, distance=4, blocks=7)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp0"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
