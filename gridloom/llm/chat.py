@@ -8,19 +8,28 @@ history allowance and they fit `budget`; a turn too long for any window has one
 windows repeat the system turn and as many of the turns before as fit `history`; repeated turns are marked
 `<|again|>` and are not under the loss mask, so each assistant text is learned once.
 
-Defined results: null roles and texts are empty. Turns are ordered by turn, role and text, so ties and
-repeated rows have a fixed order and all count; null turns come first. Rows with a null conversation id are
-one conversation. A conversation must fit one row, as its output does. Only the four named columns are read.
+No task holds a conversation, however long. Turns are range-partitioned and written once with their partition
+number; only the first conversation of a partition can go on from the one before, so the places and prefix sums that it
+starts with are one row for each partition. A new window starts at every `block`th turn, so windows are chosen within
+blocks of that many turns, whose texts never travel together; a window's texts are collected for each window alone.
+
+Defined results: null roles and texts are empty. Turns are ordered by turn and the MD5 of role, line end and text, so ties
+and repeated rows have a fixed order and all count; null turns come first. Rows with a null conversation id are
+one conversation. A turn has at least one token. Only the named columns are read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import saved, table
 
 NEW, AGAIN, SAYS, END = "<|turn|>", "<|again|>", "<|says|>", "<|end|>"
+#: What counts as a token where no column gives counts: up to six letters, up to three digits, or one other mark.
+TOKEN = r"\p{L}{1,6}|\p{N}{1,3}|[^\x09-\x0D\x20\p{L}\p{N}]"
 
 
 def escaped(text: Column) -> Column:
@@ -31,57 +40,107 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<~(~*)\|", r"<$1|")
 
 
-def token_estimate(role: Column, text: Column) -> Column:
-    """About four bytes a token, and four tokens for the marks."""
-    return F.ceil(F.octet_length(text) / 4).cast("long") + F.ceil(F.octet_length(role) / 4).cast("long") + 4
-
+def native_tokens(role: Column, text: Column) -> Column:
+    """Tokens of both by `TOKEN`, and four for the marks."""
+    return F.regexp_count(text, F.lit(TOKEN)).cast("long") + F.regexp_count(role, F.lit(TOKEN)).cast("long") + 4
+
+
+def placed(turns: DataFrame) -> DataFrame:
+    """Rows `(ck, conv, turn, role, text, tokens, ...)` with `i`, the place in the conversation, and `upto`, tokens up to and with it."""
+    tie = F.md5(F.concat_ws("\n", "role", "text").cast("binary"))
+    laid = turns.withColumn("tie", tie).repartitionByRange("ck", "turn", "tie").sortWithinPartitions("ck", "turn", "tie")
+    laid = saved(laid.withColumn("part", F.spark_partition_id()))
+    totals = laid.groupBy("part", "ck").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    before = Window.partitionBy("ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carry = totals.select("part", "ck", F.sum("n").over(before).alias("n_before"), F.sum("t").over(before).alias("t_before")).where("n_before > 0")
+    own = Window.partitionBy("part", "ck").orderBy("turn", "tie")
+    rows = laid.withColumn("i", F.row_number().over(own) - 1).withColumn("upto", F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    # at most one row for each partition
+    rows = rows.join(F.broadcast(carry), ["part", "ck"], "left")
+    return rows.withColumn("i", F.col("i") + F.coalesce("n_before", F.lit(0))).withColumn("upto", F.col("upto") + F.coalesce("t_before", F.lit(0))).drop("part", "tie", "n_before", "t_before")
+
+
+def chosen_windows(rows: DataFrame, budget: int, history: int, system: str, block: int) -> DataFrame:
+    """`(ck, block, cuts, first_window, sys_body, sys_tokens)`: first turns of the windows of a block, with tokens before each."""
+    first = rows.where((F.col("i") == 0) & (F.col("role") == system)).select("ck", F.col("body").alias("sys_body"), F.col("tokens").alias("sys_tokens"))
+    numbers = F.array_sort(F.collect_list(F.struct("i", "tokens", "upto")))
+    blocks = rows.groupBy("ck", F.floor(F.col("i") / block).alias("block")).agg(numbers.alias("turns")).join(first, "ck", "left")
+    cut = lambda t: F.struct(t["i"].alias("i"), (t["upto"] - t["tokens"]).alias("before"))
+    none = F.lit(0).cast("long")
+    kind = "array<array<struct<i:bigint,before:bigint>>>"
+    start = F.struct(F.array().cast(kind).alias("done"), F.array(cut(F.col("turns")[0])).alias("now"), F.lit(False).alias("later"), none.alias("used"))
+    system_tokens = F.coalesce("sys_tokens", none)
 
-def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 2048, history: int = 256, system: str = "system", learned: str = "assistant", tokens=token_estimate) -> DataFrame:
+    def step(s: Column, t: Column) -> Column:
+        # a conversation's first window has no history, later ones keep room for it
+        reserve = F.when((F.col("block") > 0) | s["later"], F.lit(history)).otherwise(F.lit(0))
+        counted = F.when((t["i"] == 0) & F.col("sys_tokens").isNotNull(), none).otherwise(t["tokens"])
+        full = (s["used"] > 0) & (s["used"] + counted > F.lit(budget) - system_tokens - reserve)
+        long = full & (F.size(s["now"]) >= 64)  # appended in parts, so that no long list is copied for each window
+        return F.struct(
+            F.when(long, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"]).alias("done"),
+            F.when(long, F.array(cut(t))).when(full, F.concat(s["now"], F.array(cut(t)))).otherwise(s["now"]).alias("now"),
+            (s["later"] | full).alias("later"),
+            F.when(full, counted).otherwise(s["used"] + counted).alias("used"),
+        )
+
+    cuts = F.aggregate("turns", start, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["now"]))))
+    blocks = blocks.select("ck", "block", cuts.alias("cuts"), "sys_body", "sys_tokens")
+    earlier = Window.partitionBy("ck").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return blocks.withColumn("first_window", F.coalesce(F.sum(F.size("cuts")).over(earlier), F.lit(0)))
+
+
+def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 2048, history: int = 256, system: str = "system", learned: str = "assistant", tokens: str | Callable[[Column, Column], Column] = native_tokens, block: int = 4096) -> DataFrame:
     """`(conv, window, first_turn, n_turns, n_repeated, tokens, formatted, loss_spans)`, one row per window.
 
-    `loss_spans` are (start, length) in characters of `formatted`; `first_turn` counts from 0.
+    `tokens` names a column with each turn's number of tokens, or makes one of role and text. `loss_spans` are
+    (start, length) in characters of `formatted`; `first_turn` counts from 0. History can't reach over more than a block.
     """
-    if budget <= 0 or history < 0:
-        raise ValueError("budget must be positive and history not negative")
-    rows = turns.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("*", escaped(F.col("role")).alias("e_role"), escaped(F.col("text")).alias("e_text"), tokens(F.col("role"), F.col("text")).alias("tokens"))
-    rows = rows.withColumn("body", F.concat("e_role", F.lit(SAYS), "e_text", F.lit(END)))
-    ordered = Window.partitionBy("conv").orderBy("turn", "role", "text")
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    turn_struct = F.struct(
-        F.col("i"), F.col("role"), F.col("body"), F.col("tokens"), F.col("sum_tokens"), F.col("sum_chars"), F.length("body").alias("chars"),
-        (F.length("e_role") + len(SAYS)).alias("text_at"), F.length("e_text").alias("text_chars"),
+    if budget <= 0 or history < 0 or block <= 0:
+        raise ValueError("budget and block must be positive and history not negative")
+    count = F.col(f"`{tokens}`").cast("long") if isinstance(tokens, str) else tokens(F.col("role"), F.col("text")).cast("long")
+    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{conv}`").cast("string")), F.lit(""))
+    blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    held = [F.col(f"`{conv}`").alias("conv"), key.alias("ck"), F.col(f"`{turn}`").alias("turn"), blank(role).alias("role"), blank(text).alias("text")]
+    rows = turns.select(*held, *([count.alias("tokens")] if isinstance(tokens, str) else []))
+    rows = placed(rows.withColumn("tokens", F.greatest(F.col("tokens") if isinstance(tokens, str) else count, F.lit(1))))
+    e_role = escaped(F.col("role"))
+    rows = rows.select("ck", "conv", "i", "tokens", "upto", "role", F.concat(e_role, F.lit(SAYS), escaped(F.col("text")), F.lit(END)).alias("body"), (F.length(e_role) + len(SAYS)).alias("text_at"))
+    windows = chosen_windows(rows, budget, history, system, block)
+    own = F.floor(F.col("i") / block)
+    # the last turns of a block are history for the next; a turn has a token at least, so no others are
+    near = (F.col("i") % block >= block - history) if history else F.lit(False)
+    rows = rows.select("*", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))).alias("block")).join(windows, ["ck", "block"])
+    has_system, before = F.col("sys_tokens").isNotNull(), F.col("upto") - F.col("tokens")
+    begun = F.size(F.filter("cuts", lambda c: c["i"] <= F.col("i")))
+    place = lambda n, kind: F.struct(n.cast("int").alias("n"), F.lit(kind).alias("kind"))
+    # kinds: 0 system turn, 1 history, 2 new
+    new = F.when(begun > 0, F.array(place(begun - 1, 2))).otherwise(F.array().cast("array<struct<n:int,kind:int>>"))
+    leads = has_system & (F.col("i") > 0) & F.coalesce(F.get("cuts", begun - 1)["i"] == F.col("i"), F.lit(False))
+    first = F.when(leads, F.array(place(begun - 1, 0))).otherwise(F.array().cast("array<struct<n:int,kind:int>>"))
+    numbered = F.transform("cuts", lambda c, n: F.struct(n.alias("n"), c["i"].alias("i"), c["before"].alias("before")))
+    later = F.filter(numbered, lambda c: (c["i"] > F.col("i")) & (c["before"] - before <= history) & ~(has_system & (F.col("i") == 0)))
+    old = F.transform(later, lambda c: place(c["n"], 1))
+    rows = rows.select("*", F.explode(F.concat(first, old, new)).alias("to"))
+    is_system = F.col("to.kind") == 0
+    member = F.struct(
+        F.when(is_system, F.lit(0)).otherwise(F.col("i")).alias("i"), F.col("to.kind").alias("kind"), F.when(is_system, F.col("sys_body")).otherwise(F.col("body")).alias("body"),
+        F.when(is_system, F.col("sys_tokens")).otherwise(F.col("tokens")).alias("tokens"), F.col("text_at"), ((F.col("to.kind") == 2) & (F.col("role") == learned)).alias("learned"),
     )
-    rows = rows.select("*", (F.row_number().over(ordered) - 1).alias("i"), F.sum("tokens").over(running).alias("sum_tokens"), F.sum(F.length("body") + len(NEW)).over(running).alias("sum_chars"))
-    chats = rows.groupBy("conv").agg(F.array_sort(F.collect_list(turn_struct)).alias("turns"))
-    first = F.col("turns")[0]
-    chats = chats.withColumn("sys_tokens", F.when(first["role"] == system, first["tokens"]).otherwise(F.lit(0).cast("long")))
-    start = F.struct(F.array(F.lit(0)).alias("cuts"), F.lit(0).cast("long").alias("used"))
-    room = F.when(F.size("turns") > 0, F.lit(budget) - F.col("sys_tokens"))
+    number = F.col("first_window") + F.col("to.n")
+    grouped = rows.groupBy("ck", "block", number.alias("window")).agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(member)).alias("turns"))
+    mark = lambda t: F.when(t["kind"] == 2, F.lit(NEW)).otherwise(F.lit(AGAIN))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
-    def step(s: Column, t: Column) -> Column:
-        # the first window has no history, later ones keep room for it
-        reserve = F.when(F.size(s["cuts"]) > 1, F.lit(history)).otherwise(F.lit(0))
-        counted = F.when((t["i"] == 0) & (F.col("sys_tokens") > 0), F.lit(0).cast("long")).otherwise(t["tokens"])
-        full = (s["used"] > 0) & (s["used"] + counted > room - reserve)
-        return F.struct(F.when(full, F.concat(s["cuts"], F.array(t["i"]))).otherwise(s["cuts"]).alias("cuts"), F.when(full, counted).otherwise(s["used"] + counted).alias("used"))
-
-    chats = chats.withColumn("cuts", F.aggregate("turns", start, step, lambda s: s["cuts"]))
-    windows = chats.select("conv", "turns", "sys_tokens", F.size("turns").alias("n"), "cuts", F.posexplode("cuts").alias("window", "start"))
-    windows = windows.withColumn("stop", F.coalesce(F.get("cuts", F.col("window") + 1), F.col("n"))).drop("cuts")
-    before = F.when(F.col("start") > 0, F.get("turns", F.col("start") - 1)["sum_tokens"]).otherwise(F.lit(0).cast("long"))
-    windows = windows.withColumn("reach", before - history)
-    has_system = F.col("sys_tokens") > 0
-    # prefix sums rise, so this keeps the last turns before the window; the system turn is always kept
-    repeated = F.filter(F.slice("turns", F.lit(1), F.col("start")), lambda t: (has_system & (t["i"] == 0)) | (t["sum_tokens"] - t["tokens"] >= F.col("reach")))
-    windows = windows.select("conv", "window", "start", "stop", F.slice("turns", F.col("start") + 1, F.col("stop") - F.col("start")).alias("new"), repeated.alias("old"))
-    windows = windows.withColumn("head", F.array_join(F.transform("old", lambda t: F.concat(F.lit(AGAIN), t["body"])), ""))
-    body = F.array_join(F.transform("new", lambda t: F.concat(F.lit(NEW), t["body"])), "")
-    windows = windows.withColumn("base", F.length("head") - (F.col("new")[0]["sum_chars"] - F.col("new")[0]["chars"] - len(NEW)))
-    at = lambda t: (F.col("base") + t["sum_chars"] - t["chars"] + t["text_at"]).cast("int")
-    spans = F.transform(F.filter("new", lambda t: t["role"] == learned), lambda t: F.struct(at(t).alias("start"), t["text_chars"].alias("length")))
-    total = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda s, t: s + t["tokens"])
-    return windows.select(F.col("conv").alias(conv), "window", F.col("start").alias("first_turn"), F.size("new").alias("n_turns"), F.size("old").alias("n_repeated"), (total("new") + total("old")).alias("tokens"), F.concat("head", body).alias("formatted"), spans.alias("loss_spans"))
+    def span(s: Column, t: Column) -> Column:
+        from_ = s["at"] + len(NEW) + t["text_at"]
+        whole = F.struct(from_.alias("start"), (F.length(t["body"]) - t["text_at"] - len(END)).alias("length"))
+        return F.struct((s["at"] + F.length(mark(t)) + F.length(t["body"])).alias("at"), F.when(t["learned"], F.concat(s["spans"], F.array(whole))).otherwise(s["spans"]).alias("spans"))
+
+    fresh = F.filter("turns", lambda t: t["kind"] == 2)
+    total = F.aggregate("turns", F.lit(0).cast("long"), lambda s, t: s + t["tokens"])
+    formatted = F.array_join(F.transform("turns", lambda t: F.concat(mark(t), t["body"])), "")
+    return grouped.select(F.col("conv").alias(conv), F.col("window").cast("int").alias("window"), fresh[0]["i"].alias("first_turn"), F.size(fresh).alias("n_turns"), (F.size("turns") - F.size(fresh)).alias("n_repeated"), total.alias("tokens"), formatted.alias("formatted"), F.aggregate("turns", start, span, lambda s: s["spans"]).alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -91,6 +150,7 @@ def read_turns(formatted: Column) -> Column:
 
 
 def query(spark, sf_dir):
+    """Digests of whole conversations, read back from the windows; a digest needs its conversation in one row."""
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     out = format_chats(chats.unionByName(hostile))
@@ -102,22 +162,27 @@ def query(spark, sf_dir):
     return read.select("conv_id", F.size(turns).cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length(texts).cast("long").alias("loss_chars"), F.sha2(texts, 256).alias("loss_sha256"), F.aggregate("w.chars", F.lit(0).cast("long"), lambda a, b: a + b).alias("formatted_chars"))
 
 
-ORACLE_SQL = r"""
+
+def _count(column: str) -> str:
+    return f"len(regexp_extract_all({column}, '{TOKEN}'))"
+
+
+ORACLE_SQL = rf"""
 WITH RECURSIVE c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), t AS (
   SELECT *, row_number() OVER o - 1 AS i, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM (
-    SELECT *, CAST(ceil(strlen(text) / 4.0) + ceil(strlen(role) / 4.0) + 4 AS BIGINT) AS tokens,
+    SELECT *, CAST({_count("text")} + {_count("role")} + 4 AS BIGINT) AS tokens,
       length(regexp_replace(role, '<(~*)\|', '<~\1|', 'g')) + length(regexp_replace(text, '<(~*)\|', '<~\1|', 'g')) + 15 AS chars FROM c)
-  WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, text)
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))
 ), s AS (SELECT conv_id, max(CASE WHEN i = 0 AND role = 'system' THEN tokens ELSE 0 END) AS sys FROM t GROUP BY conv_id),
 r AS (
   SELECT t.conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS win, CAST(CASE WHEN sys > 0 THEN 0 ELSE tokens END AS BIGINT) AS used FROM t JOIN s ON s.conv_id = t.conv_id WHERE t.i = 0
   UNION ALL
   SELECT t.conv_id, CAST(t.i AS BIGINT),
-    CAST(win + CASE WHEN used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN 1 ELSE 0 END AS BIGINT),
-    CAST(CASE WHEN used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN tokens ELSE used + tokens END AS BIGINT)
+    CAST(win + CASE WHEN t.i % 4096 = 0 OR used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN 1 ELSE 0 END AS BIGINT),
+    CAST(CASE WHEN t.i % 4096 = 0 OR used > 0 AND used + tokens > 2048 - sys - CASE WHEN win > 0 THEN 256 ELSE 0 END THEN tokens ELSE used + tokens END AS BIGINT)
   FROM r JOIN t ON t.conv_id = r.conv_id AND t.i = r.i + 1 JOIN s ON s.conv_id = t.conv_id
 ), w AS (SELECT conv_id, win, min(i) AS start FROM r WHERE win > 0 GROUP BY conv_id, win),
 again AS (
