@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, runs, saved, shielded, table, texts
 from gridloom.plans.scratch import dropped
@@ -30,44 +31,48 @@ from gridloom.plans.scratch import dropped
 ADDED = ["n_words", "n_hit", "spans", "items", "contaminated"]
 #: Names that plans use between input and output.
 INNER = ["k1", "k2", "spans_", "items_", "n_hit_"]
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def shingle_hashes(words: Words, sizes: list[int]):
-    """(first word, hash) arrays of the shingles of each size inside one text. Hashes of different sizes differ."""
+    """For each size k: k, first words and hashes of the shingles inside one text, and what hashes any span."""
     if len(words):
         hashes = Rolling(words.buffer)
         for k in sizes:
             n = len(words) - k + 1
             if n > 0:
                 whole = np.flatnonzero(words.document[:n] == words.document[k - 1 :])
-                yield k, whole, hashes.spans(words.begin[whole], words.end[whole + k - 1])
+                yield k, whole, hashes.spans(words.begin[whole], words.end[whole + k - 1]), hashes
 
 
 def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, shingle: int) -> DataFrame:
-    """`(item, win, size, k, hashes)`: each window of each item, its words and the hashes of its shingles of k words."""
+    """`(item, win, whole, size, k, hashes)`: each window of each item, its words and their hash, and the hashes of its shingles of k words."""
+
+    names = ["item", "win", "whole", "size", "k", "hashes"]
 
     def cut(batches):
         for part in chunks(batches, "text"):
             words = Words(texts(part), NOT_ALNUM, lower=True)
             data, rows = words.bytes, []
-            hash_at = {}
-            for k, at, h in shingle_hashes(words, sorted({min(shingle, int(n)) for n in np.diff(words.first) if n})):
+            spans, hash_at = Rolling(words.buffer), {}
+            for k, at, h, _ in shingle_hashes(words, sorted({min(shingle, int(n)) for n in np.diff(words.first) if n})):
                 hash_at[k] = dict(zip(at.tolist(), h.view(np.int64).tolist(), strict=True))
             for d, name in enumerate(part.column(0).to_pylist()):
                 a, b = int(words.first[d]), int(words.first[d + 1])
                 size = min(window, b - a)
                 k = min(shingle, size)
-                for i in range(a, b - size + 1) if size else ():
-                    rows.append((name, data[words.begin[i] : words.end[i + size - 1]].decode("utf-8", "replace"), size, k, [hash_at[k][j] for j in range(i, i + size - k + 1)]))
+                if not size:
+                    continue
+                begin, end = words.begin[a : b - size + 1], words.end[a + size - 1 : b]
+                for i, low, high, h in zip(range(a, b), begin.tolist(), end.tolist(), spans.spans(begin, end).view(np.int64).tolist(), strict=False):
+                    rows.append((name, data[low:high].decode("utf-8", "replace"), h, size, k, [hash_at[k][j] for j in range(i, i + size - k + 1)]))
                     if len(rows) == 5000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["item", "win", "size", "k", "hashes"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
                         rows = []
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["item", "win", "size", "k", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names)
 
     source = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("null")).alias("item"), F.col(f"`{text}`").cast("string").alias("text"))
-    return source.mapInArrow(cut, "item string, win string, size long, k long, hashes array<long>")
+    return source.mapInArrow(cut, "item string, win string, whole long, size long, k long, hashes array<long>")
 
 
 def hash_bits(hashes: DataFrame, n: int, most: int) -> np.ndarray:
@@ -95,7 +100,7 @@ def _counted(bodies: DataFrame, sizes: list[int], bits) -> DataFrame:
     def count(batches):
         for part in chunks(batches, "text"):
             words = Words(texts(part), NOT_ALNUM, lower=True)
-            for _, at, h in shingle_hashes(words, sizes):
+            for _, at, h, _ in shingle_hashes(words, sizes):
                 near = among(bits.value, h)
                 pairs = np.unique(np.stack([h[near], words.document[at[near]].astype(np.uint64)]), axis=1)[0]
                 start, stop = runs(pairs)
@@ -104,17 +109,28 @@ def _counted(bodies: DataFrame, sizes: list[int], bits) -> DataFrame:
     return bodies.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
 
 
-def _surroundings(bodies: DataFrame, sizes: list[int], bits, window: int, shingle: int) -> DataFrame:
-    """`(hash, k1, k2, at, low, around)`: where a prefix may be in a text, and the words from `low` on around it."""
+def _surroundings(bodies: DataFrame, sizes: list[int], lengths: list[int], bits, whole_bits, window: int, shingle: int) -> DataFrame:
+    """`(hash, k1, k2, at, low, around)`: where a prefix may be in a text, and the words from `low` on around it.
+
+    Only where some window over the place, inside the text, may be one of the benchmark's.
+    """
     names = ["hash", "k1", "k2", "at", "low", "around"]
 
     def find(batches):
         for part in chunks(batches, "text"):
             words = Words(texts(part), NOT_ALNUM, lower=True)
             data = words.bytes
-            for k, at, h in shingle_hashes(words, sizes):
+            for k, at, h, spans in shingle_hashes(words, sizes):
                 near = among(bits.value, h)
                 at, h = at[near], h[near]
+                first, last = words.first[words.document[at]], words.first[words.document[at] + 1]
+                likely = np.zeros(len(at), dtype=bool)
+                for n in [n for n in lengths if min(n, shingle) == k]:
+                    for place in range(n - k + 1):
+                        inside = np.flatnonzero((at - place >= first) & (at - place + n <= last) & ~likely)
+                        a = at[inside] - place
+                        likely[inside] = among(whole_bits.value, spans.spans(words.begin[a], words.end[a + n - 1]))
+                at, h = at[likely], h[likely]
                 if not len(at):
                     continue
                 d = words.document[at]
@@ -133,7 +149,9 @@ def _found(bodies: DataFrame, windows: DataFrame, window: int, shingle: int, fil
     """`(k1, k2, spans_, items_, n_hit_)` of texts that have a window: merged word ranges, sorted ids, and covered words."""
     sc = bodies.sparkSession.sparkContext
     parts = windows.select("k", F.explode("hashes").alias("hash")).distinct()
-    sizes = sorted(r["k"] for r in windows.select("k").distinct().toLocalIterator())  # at most `shingle` values
+    # at most `window` rows
+    lengths = sorted(r["size"] for r in windows.select("size").distinct().toLocalIterator())
+    sizes = sorted({min(n, shingle) for n in lengths})
     counts = _counted(bodies, sizes, sc.broadcast(hash_bits(parts, parts.count(), filter_bits)))
     # each window's rarest shingle: its hash and place
     distinct = windows.select("win", "size", "hashes").dropDuplicates(["win"])
@@ -141,7 +159,9 @@ def _found(bodies: DataFrame, windows: DataFrame, window: int, shingle: int, fil
     order = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "hash", "place")
     prefixes = saved(places.groupBy("win").agg(F.min(order).alias("p"), F.first("size").alias("size")).select("win", "size", F.col("p.hash").alias("hash"), F.col("p.place").cast("long").alias("place")))
     heads = prefixes.select("hash").distinct()
-    seen = _surroundings(bodies, sizes, sc.broadcast(hash_bits(heads, heads.count(), filter_bits)), window, shingle)
+    wholes = windows.select(F.col("whole").alias("hash")).distinct()
+    tables = [sc.broadcast(hash_bits(x, x.count(), filter_bits)) for x in (heads, wholes)]
+    seen = _surroundings(bodies, sizes, lengths, *tables, window, shingle)
     seen = seen.dropDuplicates(["k1", "k2", "hash", "at"])
     start = F.col("at") - F.col("place")
     there = F.array_join(F.slice(F.split("around", " "), F.greatest(start - F.col("low") + 1, F.lit(1)).cast("int"), F.col("size").cast("int")), " ")
@@ -160,6 +180,12 @@ def _found(bodies: DataFrame, windows: DataFrame, window: int, shingle: int, fil
     return spans.join(items, ["k1", "k2"])
 
 
+@F.arrow_udf(T.LongType())
+def word_counts(column: pa.Array) -> pa.Array:
+    counts = [np.diff(Words(texts(part), NOT_ALNUM, lower=True).first) for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text")]
+    return pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64())
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = 13, shingle: int = 3, share: int = 20, filter_bits: int = 27, keep: list[str] | None = None, broadcast_rows: int = 100_000) -> DataFrame:
     """All rows, of them the columns `keep` or else all, with `n_words`, `n_hit`, `spans` (hit word ranges), `items` (ids as sorted text) and
     `contaminated`: some word is hit, and hit words are at least 1/`share` of all words.
@@ -179,7 +205,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     found = saved(_found(bodies, windows, window, shingle, filter_bits))
     narrow, back = shielded(docs.select(*quoted(dict.fromkeys([*keep, text]))), [*ADDED, *INNER])
     body = F.coalesce(back[-1] if text not in keep else back[keep.index(text)], F.lit("")).cast("string")
-    rows = narrow.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), F.regexp_count(body, F.lit(WORD)).cast("long").alias("n_words"))
+    rows = narrow.select("*", F.xxhash64(body).alias("k1"), F.xxhash64(F.lit(1), body).alias("k2"), word_counts(body).alias("n_words"))
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     judged = rows.join(found, ["k1", "k2"], "left").withColumn("n_hit", F.coalesce("n_hit_", F.lit(0).cast("long")))
