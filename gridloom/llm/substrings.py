@@ -4,16 +4,18 @@ A window is `window` consecutive words of one document. Its minimiser is the sma
 grams inside it, so equal windows have equal minimisers. Consecutive windows that share a minimiser form a
 super-k-mer. A word is removed if a window over it also starts in a document with a smaller id.
 
-1. Every super-k-mer becomes a short key: its minimiser and a hash of its words. Keys are combined map-side
-   to the first document that has them, so a passage in a third of all documents is one row.
-2. Where a minimiser has one key only, equal windows are equal super-k-mers and nothing more is needed.
-   Where it has several, the first occurrence of each travels as one packed string to the minimiser's
-   bucket. There its windows are sorted, and the first of a run of equal windows has the smallest id.
-   A minimiser with over `heavy` keys is split: its windows travel one by one, dealt by their own hash and
-   sorted outside Python, so a bucket's memory is bounded.
+1. Every super-k-mer becomes a short key, the 128-bit hash of its words, beside its minimiser. Keys are combined
+   map-side to the first document that has them, so a passage in a third of all documents is one row.
+2. The first occurrence of each key travels as one packed string to the minimiser's bucket, unless it would be alone
+   there: a bucket of one string has nothing to count. There its windows are sorted, and the first of a run of equal
+   windows has the smallest id. A minimiser whose strings have over `heavy` windows is split: its windows travel one by
+   one, dealt by their own hash and sorted outside Python, so a bucket's memory is bounded.
 3. An occurrence of a super-k-mer in a later document than its first loses all its words; in the first
    document it loses the windows that its bucket found. Hot keys are left to AQE's skew join.
 
+Words are compared as they are in buckets. That occurrences of one key have the same words rests on the 128 bits: among
+10**13 super-k-mers the chance of any two different ones with equal hashes is 10**-12.
+
 Defined results: null and empty texts have no words and nothing is removed; so have texts shorter than a
 window. A null id counts as larger than all ids. Rows with equal ids don't remove words from each other, and
 repeated rows give repeated results. Other columns pass through; those with the name of an output column
@@ -41,10 +43,10 @@ def _named(docs: DataFrame, id: str, text: str) -> list:
 
 
 def superkmers(docs: DataFrame, id: str, text: str, window: int, gram: int) -> DataFrame:
-    """`(mini, dig, id, text_key, start, n)`: n windows from word `start` on share the minimiser `mini`."""
+    """`(mini, dig, low, id, text_key, start, n)`, with a hash of the words in two parts: n windows from word `start` on share the minimiser `mini`."""
 
     def cut(batches):
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for part in chunks(batches, "text"):
             words = Words(texts(part))
             if len(words) < window:
@@ -61,19 +63,19 @@ def superkmers(docs: DataFrame, id: str, text: str, window: int, gram: int) -> D
             begun = np.flatnonzero(new)
             n, first = np.diff(np.append(begun, len(at))), at[begun]
             data, begin, end = words.bytes, words.begin[first].tolist(), words.end[first + n + window - 2].tolist()
-            dig = np.array([digest(data[a:b]) for a, b in zip(begin, end, strict=True)], dtype=np.uint64)
+            dig = np.frombuffer(b"".join([digest(data[a:b]) for a, b in zip(begin, end, strict=True)]), dtype="<i8").reshape(-1, 2)
             document = words.document[first]
             rows = pa.array(document)
-            columns = [pa.array(values[begun].view(np.int64)), pa.array(dig.view(np.int64)), part.column(0).take(rows), part.column(1).take(rows), pa.array((first - words.first[document]).astype(np.int32)), pa.array(n.astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["mini", "dig", "id", "text_key", "start", "n"])
+            columns = [pa.array(values[begun].view(np.int64)), pa.array(dig[:, 0].copy()), pa.array(dig[:, 1].copy()), part.column(0).take(rows), part.column(1).take(rows), pa.array((first - words.first[document]).astype(np.int32)), pa.array(n.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["mini", "dig", "low", "id", "text_key", "start", "n"])
 
     rows = docs.where(F.col(f"`{text}`").isNotNull()).select(*_named(docs, id, text))
-    return rows.mapInArrow(cut, "mini long, dig long, id long, text_key long, start int, n int")
+    return rows.mapInArrow(cut, "mini long, dig long, low long, id long, text_key long, start int, n int")
 
 
 def _packed(batches, window: int):
     """Texts with wanted super-k-mers to packed strings; those of heavy minimisers window by window."""
-    names = ["bucket", "heavy", "mini", "dig", "id", "first", "packed"]
+    names = ["bucket", "heavy", "dig", "low", "id", "first", "packed"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for part in chunks(batches, "text"):
         words, rows = Words(texts(part)), []
@@ -82,17 +84,17 @@ def _packed(batches, window: int):
             for w in wanted:
                 a = int(words.first[d]) + w["start"]
                 if not w["heavy"]:
-                    rows.append((w["mini"], False, w["mini"], w["dig"], doc, 0, data[words.begin[a] : words.end[a + w["n"] + window - 2]]))
+                    rows.append((w["mini"], False, w["dig"], w["low"], doc, 0, data[words.begin[a] : words.end[a + w["n"] + window - 2]]))
                     continue
                 for i in range(w["n"]):
                     one = data[words.begin[a + i] : words.end[a + i + window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, w["mini"], w["dig"], doc, i, one))
+                    rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, w["dig"], w["low"], doc, i, one))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], names)
 
 
 def _later_windows(group: list[tuple], window: int) -> list[tuple[int, int, int]]:
-    """Of a bucket's super-k-mers `(mini, dig, id, packed)`: (mini, dig, window) of windows that a smaller id has too."""
+    """Of a bucket's super-k-mers `(dig, low, id, packed)`: (dig, low, window) of windows that a smaller id has too."""
     entries = []
     for s, (_, _, doc, packed) in enumerate(group):
         blanks = [i for i, b in enumerate(packed) if b == 32]
@@ -109,47 +111,47 @@ def _later_windows(group: list[tuple], window: int) -> list[tuple[int, int, int]
 
 
 def _counted(batches, window: int):
-    """Sorted buckets to `(mini, dig, at)`: windows of a first occurrence that a smaller id has too."""
+    """Sorted buckets to `(dig, low, at)`: windows of a first occurrence that a smaller id has too."""
     found: list[tuple[int, int, int]] = []
     group: list[tuple] = []
     bucket, before, least = None, None, 0
 
     def out():
         columns = list(zip(*found, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["mini", "dig", "at"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32()), strict=True)], ["dig", "low", "at"])
         found.clear()
 
     for batch in batches:
-        for b, heavy, mini, dig, doc, first, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for b, heavy, dig, low, doc, first, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if heavy:  # sorted by words and id: the first of equal windows has the smallest id
                 if packed != before:
                     before, least = packed, doc
                 elif doc > least:
-                    found.append((mini, dig, first))
+                    found.append((dig, low, first))
                 continue
             if b != bucket:
                 found += _later_windows(group, window) if len(group) > 1 else []
                 bucket, group = b, []
-            group.append((mini, dig, doc, packed))
+            group.append((dig, low, doc, packed))
         yield from out()
     found += _later_windows(group, window) if len(group) > 1 else []
     yield from out()
 
 
 def _firsts(occurrences: DataFrame, docs: DataFrame, id: str, text: str, window: int, heavy: int) -> DataFrame:
-    """`(mini, dig, first, windows)` of keys that remove words: in documents after `first` all, in it `windows`."""
-    keys = occurrences.groupBy("mini", "dig").agg(F.min(F.struct("id", "text_key", "start", "n")).alias("own"), F.max("id").alias("last"))
-    shared = keys.groupBy("mini").agg(F.count("*").alias("keys")).where("keys > 1")
-    wanted = keys.join(shared, "mini").select("own.id", "own.text_key", F.struct("mini", "dig", "own.start", "own.n", (F.col("keys") > heavy).alias("heavy")).alias("w"))
+    """`(dig, low, first, windows)` of keys that remove words: in documents after `first` all, in it `windows`."""
+    keys = occurrences.groupBy("dig", "low").agg(F.min(F.struct("id", "text_key", "start", "n")).alias("own"), F.max("id").alias("last"), F.first("mini").alias("mini"))
+    shared = keys.groupBy("mini").agg(F.count("*").alias("keys"), F.sum("own.n").alias("all")).where("keys > 1")
+    wanted = keys.join(shared, "mini").select("own.id", "own.text_key", F.struct("mini", "dig", "low", "own.start", "own.n", (F.col("all") > heavy).alias("heavy")).alias("w"))
     wanted = wanted.groupBy("id", "text_key").agg(F.collect_list("w").alias("wanted"))
     held = docs.where(F.col(f"`{text}`").isNotNull()).select(*_named(docs, id, text)).join(wanted, ["id", "text_key"]).select("id", "text", "wanted")
-    packed = held.mapInArrow(lambda b: _packed(b, window), "bucket long, heavy boolean, mini long, dig long, id long, first int, packed binary")
+    packed = held.mapInArrow(lambda b: _packed(b, window), "bucket long, heavy boolean, dig long, low long, id long, first int, packed binary")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "packed", "id")
-    later = dealt.mapInArrow(lambda b: _counted(b, window), "mini long, dig long, at int").groupBy("mini", "dig").agg(F.collect_set("at").alias("windows"))
-    return keys.join(later, ["mini", "dig"], "left").where("last > own.id OR windows IS NOT NULL").select("mini", "dig", F.col("own.id").alias("first"), "windows")
+    later = dealt.mapInArrow(lambda b: _counted(b, window), "dig long, low long, at int").groupBy("dig", "low").agg(F.collect_set("at").alias("windows"))
+    return keys.join(later, ["dig", "low"], "left").where("last > own.id OR windows IS NOT NULL").select("dig", "low", F.col("own.id").alias("first"), "windows")
 
 
-def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 8, heavy: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 8, heavy: int = 50_000, keep: list[str] | None = None) -> DataFrame:
     """All rows, of them the columns `keep` or else all, with `n_words`, `n_removed`, `removed` (word ranges) and `kept_text` (null for null)."""
     if not 1 <= gram <= window:
         raise ValueError("need 1 <= gram <= window")
@@ -157,7 +159,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
     firsts = saved(_firsts(occurrences, docs, id, text, window, heavy))
     whole = F.array(F.struct(F.col("start").alias("start"), (F.col("start") + F.col("n") + (window - 1)).alias("stop")))
     single = F.transform(F.coalesce("windows", F.array().cast("array<int>")), lambda i: F.struct((F.col("start") + i).alias("start"), (F.col("start") + i + window).alias("stop")))
-    spans = occurrences.join(firsts, ["mini", "dig"]).select("id", "text_key", F.when(F.col("id") > F.col("first"), whole).otherwise(single).alias("spans"))
+    spans = occurrences.join(firsts, ["dig", "low"]).select("id", "text_key", F.when(F.col("id") > F.col("first"), whole).otherwise(single).alias("spans"))
     spans = spans.where(F.size("spans") > 0).groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
     keep = others(docs, ADDED) if keep is None else keep

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from gridloom.llm.substrings import dedup_substrings
+from gridloom.llm.substrings import LONGEST, _later_windows, dedup_substrings
 
 
 def brute(rows, window):
@@ -72,3 +72,14 @@ def test_text_around_a_removed_span_is_kept(spark):
     r = {x["doc_id"]: x for x in dedup_substrings(docs, window=5, gram=2).collect()}
     assert r[1]["kept_text"] == "p q r s t" and r[2]["kept_text"] == "Start\there.\nthen\n\nmore."
     assert [tuple(s) for s in r[2]["removed"]] == [(2, 7)]
+
+
+def test_a_bucket_at_its_limit_is_small():
+    import tracemalloc
+
+    words = [f"word{i}" for i in range(LONGEST + 49)]
+    group = [(k, k, k, " ".join([str(k), *words[1:]]).encode()) for k in range(50_000 // LONGEST)]  # windows of a bucket that isn't split
+    tracemalloc.start()
+    found = _later_windows(group, 50)
+    assert len(found) == (len(group) - 1) * (LONGEST - 1) and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
