@@ -2,12 +2,16 @@
 
 An Aho-Corasick automaton finds every term of the vocabulary in one pass over the lower-cased URL. A hit
 counts only between boundaries (no ASCII letter or digit on either side). One strict hit rejects, and so do
-`soft_limit` distinct soft terms. Rules beat the vocabulary: the longest rule whose host is the URL's host
-or a parent domain of it, and whose path starts the URL's path, gives the verdict.
+two or more distinct soft terms whose weights add up to `soft_limit`. Rules beat the vocabulary: the longest rule whose
+host is the URL's host or a parent domain of it, and whose path starts the URL's path, gives the verdict.
+
+The vocabulary is a table of term, kind and weight, given as rows or as a DataFrame. It and the automaton are in every
+task, so a vocabulary of over `most_terms` terms is an error.
 
 Defined results: a null URL or one without `://` has an empty host and path; a null URL has no hits and
 is allowed. Repeated rows give repeated results. Only the URL column is read, so other columns of any name
-pass through. An input column with the name of an output column is replaced.
+pass through. An input column with the name of an output column is replaced. A term given twice has its larger weight,
+and is strict if either is; null and empty terms are left out.
 """
 
 from __future__ import annotations
@@ -21,9 +25,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: One of these is enough.
-STRICT = ("porn", "xxx", "sex", "casino", "viagra", "spam-farm", "cheap-pills", "escort", "hentai", "nude")
+STRICT = (
+    "anal", "bdsm", "bestiality", "blackjack", "blowjob", "bukkake", "camgirl", "camgirls", "casino", "casinos", "cheap-pills", "cialis", "creampie",
+    "crackz", "cumshot", "deepthroat", "dildo", "erotic", "erotica", "escort", "escorts", "fetish", "fuck", "gangbang", "hardcore-sex", "hentai",
+    "hookup", "incest", "jackpot", "keygen", "kinky", "levitra", "lolita", "masturbation", "milf", "naked", "nude", "nudes", "nudist", "onlyfans-leaks",
+    "orgasm", "orgy", "payday-loan", "payday-loans", "penis", "phentermine", "phishing", "porn", "porno", "pornhub", "porntube", "pussy", "rapidgator",
+    "replica-watches", "roulette", "sex", "sexcam", "sexchat", "sexshop", "sextoys", "sexvideo", "sexy", "slots", "slut", "sluts", "spam-farm", "strip-club",
+    "stripper", "strippers", "swinger", "swingers", "tits", "torrentz", "tramadol", "upskirt", "viagra", "voyeur", "warez", "webcam-sex", "whore", "xanax",
+    "xrated", "xvideos", "xxx", "xxxvideos",
+)
 #: Several different ones are needed.
-SOFT = ("adult", "bet", "betting", "poker", "pills", "free", "cheap", "loan", "dating", "lottery", "bonus", "spam", "farm", "replica")
+SOFT = (
+    "adult", "affiliate", "amateur", "babes", "bargain", "bet", "bets", "betting", "bingo", "bonus", "bookmaker", "buy-now", "cams", "cash", "cheap", "cheats",
+    "clickbait", "coupon", "coupons", "crack", "credit", "dating", "deals", "diet", "discount", "download-free", "drugs", "earn", "farm", "fastcash", "flirt",
+    "forex", "free", "freebies", "gamble", "gambling", "get-rich", "gift", "giveaway", "girls", "guaranteed", "hacked", "hot", "instant", "keno", "lingerie",
+    "loan", "loans", "lottery", "lotto", "make-money", "mature", "meds", "miracle", "money", "mortgage", "odds", "offer", "offers", "payday", "pharmacy",
+    "pills", "pirate", "poker", "prize", "promo", "proxy", "ringtones", "rx", "sale", "seo", "singles", "slot", "spam", "sportsbook", "spy", "stake", "steroids",
+    "streaming-free", "supplement", "supplements", "sweepstakes", "teen", "teens", "torrent", "torrents", "trial", "unlimited", "vegas", "vip", "wager",
+    "weed", "weight-loss", "win", "winner", "replica", "traffic",
+)
+VOCABULARY = tuple((t, "strict", 2) for t in STRICT) + tuple((t, "soft", 1) for t in SOFT)
 #: Fixed values: (host, path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -65,42 +86,59 @@ class RuleSet:
 
 
 class Vocabulary:
-    def __init__(self, strict: Iterable[str], soft: Iterable[str]):
+    def __init__(self, terms: dict[str, tuple[bool, int]]):
         self.automaton = ahocorasick.Automaton()
-        for term in soft:
-            self.automaton.add_word(term.lower(), (False, term.lower()))
-        for term in strict:
-            self.automaton.add_word(term.lower(), (True, term.lower()))
-        if len(self.automaton):
+        for term, (strict, weight) in terms.items():
+            self.automaton.add_word(term, (strict, weight, term))
+        if terms:
             self.automaton.make_automaton()
 
-    def hits(self, url: str | None) -> tuple[int, int]:
-        """Distinct strict and soft terms between boundaries."""
-        found: set[tuple[bool, str]] = set()
-        low = (url or "").encode("utf-8", "replace").lower().decode("utf-8", "replace")
+    def hits(self, url: str | None) -> tuple[int, int, int]:
+        """Distinct strict and soft terms between boundaries, and the weight of the soft ones."""
+        found: set[tuple[bool, int, str]] = set()
+        low = _lower(url or "")
         inside = "abcdefghijklmnopqrstuvwxyz0123456789"
-        for end, (strict, term) in self.automaton.iter(low) if len(self.automaton) else ():
-            begin = end + 1 - len(term)
+        for end, hit in self.automaton.iter(low) if len(self.automaton) else ():
+            begin = end + 1 - len(hit[2])
             if (begin == 0 or low[begin - 1] not in inside) and (end + 1 == len(low) or low[end + 1] not in inside):
-                found.add((strict, term))
-        n = sum(strict for strict, _ in found)
-        return n, len(found) - n
+                found.add(hit)
+        n = sum(strict for strict, _, _ in found)
+        return n, len(found) - n, sum(weight for strict, weight, _ in found if not strict)
+
+
+def _lower(text: str) -> str:
+    return text.encode("utf-8", "replace").lower().decode("utf-8", "replace")
+
+
+def term_table(vocabulary: DataFrame | Iterable[tuple[str, str, int]], most_terms: int) -> dict[str, tuple[bool, int]]:
+    """Lower-cased terms with whether they are strict, and their weights."""
+    rows = vocabulary.select("term", "kind", "weight").limit(most_terms + 1).collect() if isinstance(vocabulary, DataFrame) else vocabulary
+    out: dict[str, tuple[bool, int]] = {}
+    for term, kind, weight in rows:
+        if kind not in ("strict", "soft"):
+            raise ValueError("a term is strict or soft")
+        if term:
+            strict, most = out.get(_lower(term), (False, 0))
+            out[_lower(term)] = (strict or kind == "strict", max(most, int(weight)))
+    if len(out) > most_terms:
+        raise ValueError(f"more than {most_terms} terms")
+    return out
 
 
-def filter_urls(pages: DataFrame, url: str = "url", strict=STRICT, soft=SOFT, rules=RULES, soft_limit: int = 2) -> DataFrame:
-    """All rows with `host, path, rule, n_strict, n_soft, verdict` (allow or block) added."""
-    strict, soft, rules = tuple(strict), tuple(soft), tuple(rules)
+def filter_urls(pages: DataFrame, url: str = "url", vocabulary: DataFrame | Iterable[tuple[str, str, int]] = VOCABULARY, rules=RULES, soft_limit: int = 2, most_terms: int = 100_000) -> DataFrame:
+    """All rows with `host, path, rule, n_strict, n_soft, verdict` (allow or block) added. `vocabulary` has rows (term, kind, weight)."""
+    terms, rules = pages.sparkSession.sparkContext.broadcast(term_table(vocabulary, most_terms)), tuple(rules)
 
     @F.pandas_udf(JUDGED)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        ruled, vocabulary = RuleSet(rules), Vocabulary(strict, soft)
+        ruled, words = RuleSet(rules), Vocabulary(terms.value)
         for urls in batches:
             out = []
             for u in urls:
                 host, path = split_url(u)
                 rule, verdict = ruled.longest(host, path)
-                n_strict, n_soft = vocabulary.hits(u)
-                out.append((host, path, rule, n_strict, n_soft, verdict or ("block" if n_strict or n_soft >= soft_limit else "allow")))
+                n_strict, n_soft, weight = words.hits(u)
+                out.append((host, path, rule, n_strict, n_soft, verdict or ("block" if n_strict or (n_soft >= 2 and weight >= soft_limit) else "allow")))
             yield pd.DataFrame(out, columns=ADDED)
 
     names = [f.name for f in pages.schema if f.name.lower() not in ADDED]

@@ -1,4 +1,6 @@
-from gridloom.llm.url_filter import RULES, SOFT, STRICT, RuleSet, Vocabulary, filter_urls, split_url
+import pytest
+
+from gridloom.llm.url_filter import RULES, SOFT, STRICT, VOCABULARY, RuleSet, Vocabulary, filter_urls, split_url, term_table
 
 
 def test_split():
@@ -18,10 +20,21 @@ def test_rules_against_a_plain_search():
 
 
 def test_vocabulary():
-    v = Vocabulary(STRICT, SOFT)
-    assert v.hits("http://casino.x/") == (1, 0) and v.hits("http://casinos.x/") == (0, 0)
-    assert v.hits("http://a.x/FREE-bet/free") == (0, 2) and v.hits("x://middlesex.uk/sextant") == (0, 0) and v.hits(None) == (0, 0)
-    assert v.hits("http://www.spam-farm.x/") == (1, 2)
+    v = Vocabulary(term_table(VOCABULARY, 1000))
+    assert v.hits("http://casino.x/") == (1, 0, 0) and v.hits("http://casinova.x/") == (0, 0, 0)
+    assert v.hits("http://a.x/FREE-bet/free") == (0, 2, 2) and v.hits("x://middlesex.uk/sextant") == (0, 0, 0) and v.hits(None) == (0, 0, 0)
+    assert v.hits("http://www.spam-farm.x/") == (1, 2, 2)
+    assert len(STRICT) == len(set(STRICT)) and len(SOFT) == len(set(SOFT)) and not set(STRICT) & set(SOFT)
+
+
+def test_weights_from_a_table(spark):
+    table = spark.createDataFrame([("One", "soft", 1), ("two", "soft", 2), ("big", "soft", 9), ("bad", "strict", 1), (None, "soft", 1), ("two", "soft", 1)], "term string, kind string, weight int")
+    pages = spark.createDataFrame([(u,) for u in ("x://one/two", "x://big", "x://one/one", "x://big/one", "x://bad")], "url string")
+    got = [(r["n_strict"], r["n_soft"], r["verdict"]) for r in filter_urls(pages, vocabulary=table, soft_limit=4).collect()]
+    assert got == [(0, 2, "allow"), (0, 1, "allow"), (0, 1, "allow"), (0, 2, "block"), (1, 0, "block")]
+    with pytest.raises(ValueError):
+        filter_urls(pages, vocabulary=table, most_terms=3)
+    assert {r["verdict"] for r in filter_urls(pages, vocabulary=()).collect()} == {"allow"}
 
 
 def test_edge_cases(spark):
