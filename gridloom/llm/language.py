@@ -6,8 +6,9 @@ centroids, found by spherical k-means over a bounded sample of labelled rows. Th
 of the centroid with the largest cosine. A text farther from it than nearly all training texts of that
 centroid were is marked as rejected.
 
-Fitting reads at most about `per_language` labelled rows of each language (chosen by a hash of the id, so
-rows of any partition can be in it); only their sparse vectors, of bounded size, come to the driver.
+Fitting reads at most `per_language` labelled rows of each of the `most_languages` most frequent labels, chosen by a
+hash of id and text, so rows of any partition can be in it, and equal rows are one. A language's rows are clustered in
+one task; only its centroids come to the driver.
 
 Defined results: a null text or one without a letter is `und` with score 0 and rejected. Rows without a
 label or id are predicted but never learned from. If nothing can be learned, all predictions are `und`.
@@ -20,10 +21,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, held_out, others, quoted, table, texts
+from gridloom.llm.common import chunks, held_out, others, quoted, saved, table, texts
+from gridloom.plans.scratch import dropped
 
 ADDED = ["lang_pred", "score", "rejected"]
 UNKNOWN = "und"
@@ -93,51 +95,61 @@ class Model:
         return names, score, ~lettered | (1 - score > self.radius[best])
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 4096) -> Model:
-    """Centroids from a sample of about `per_language` rows of each label (bounded, by a hash of the id)."""
-    rows = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(id).cast("string").alias("id"), F.col(label).cast("string").alias("label"), F.col(text).cast("string").alias("text"))
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().toLocalIterator()}  # one row for each language
+def fit(labelled: DataFrame, text: str = "text", label: str = "lang", id: str = "doc_id", per_language: int = 400, clusters: int = 4, dims: int = 4096, most_languages: int = 256) -> Model:
+    """Centroids from a sample of at most `per_language` rows of each label."""
+    name = lambda c: F.col(f"`{c}`")
+    rows = labelled.where(name(label).isNotNull() & name(text).isNotNull() & name(id).isNotNull())
+    rows = rows.select(name(label).cast("string").alias("label"), name(text).cast("string").alias("text"), F.xxhash64(name(id).cast("string"), name(text).cast("string")).alias("h"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").agg(F.count("*").alias("rows"), F.approx_count_distinct("h").alias("count")).orderBy(F.desc("rows"), "label").limit(most_languages).collect()}
     if not counts:
         return Model(dims, np.ones(dims), np.zeros((0, dims)), [], np.zeros(0))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, per_language / n)))])
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share[F.col("label")] * 1_000_003)
+    # a share that gives some more than wanted, of which a rank keeps the first
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(min(1.0, 1.5 * per_language / n)))])
+    chosen = rows.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("label")] * 1_000_003).dropDuplicates(["label", "h"])
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    chosen = chosen.withColumn("rank", rank).where(F.col("rank") <= per_language).select("label", "h", "text")
 
     def sparse(batches):
         for part in chunks(batches, "text", row=dims * 8):
-            counted = gram_counts(texts(part), dims)
+            counted = gram_counts(texts(part, "text"), dims)
             at = [np.flatnonzero(c) for c in counted]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(at, pa.list_(pa.int32())), pa.array([c[i].astype(np.float32) for c, i in zip(counted, at, strict=True)], pa.list_(pa.float32()))], ["label", "at", "n"])
-
-    sample = chosen.select("label", "text").mapInArrow(sparse, "label string, at array<int>, n array<float>").toArrow()
-    counted, labels = np.zeros((sample.num_rows, dims)), sample.column("label").to_pylist()
-    for i, (at, n) in enumerate(zip(sample.column("at").to_pylist(), sample.column("n").to_pylist(), strict=True)):
-        counted[i, at] = n
-    idf = np.log((1 + len(counted)) / (1 + (counted > 0).sum(axis=0))) + 1
-    rows_ = normalised(np.sqrt(counted) * idf)
-    centres, names, radius = [], [], []
-    for name in sorted(set(labels)):
-        own = rows_[[x == name for x in labels]]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(at, pa.list_(pa.int32())), pa.array([c[i].astype(np.float32) for c, i in zip(counted, at, strict=True)], pa.list_(pa.float32()))], ["label", "h", "at", "n"])
+
+    sample = saved(chosen.mapInArrow(sparse, "label string, h long, at array<int>, n array<float>"))
+    idf = np.full(dims, np.log(1 + sample.count()) + 1)
+    for r in sample.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # at most `dims` rows
+        idf[r["at"]] -= np.log(1 + r["count"])
+
+    def centroids(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        counted = np.zeros((table.num_rows, dims))
+        for i, (at, n) in enumerate(zip(table.column("at").to_pylist(), table.column("n").to_pylist(), strict=True)):
+            counted[i, at] = n
+        own = normalised(np.sqrt(counted) * idf)
         found = spherical_means(own, clusters)
         cosine = own @ found.T
         mine = np.argmax(cosine, axis=1)
-        for c in range(len(found)):
-            far = 1 - cosine[mine == c, c]
-            centres.append(found[c])
-            names.append(name)
-            radius.append(min(1.0, float(np.quantile(far, 0.99)) * 1.1) if len(far) else 0.0)
-    return Model(dims, idf, np.array(centres), names, np.array(radius))
+        far = [1 - cosine[mine == c, c] for c in range(len(found))]
+        radius = [min(1.0, float(np.quantile(f, 0.99)) * 1.1) if len(f) else 0.0 for f in far]
+        return pa.table({"label": pa.array([table.column("label")[0].as_py()] * len(found), pa.string()), "centre": pa.array(list(found), pa.list_(pa.float64())), "radius": pa.array(radius, pa.float64()), "k": pa.array(range(len(found)), pa.int32())})
+
+    # at most `most_languages` times `clusters` rows of `dims` numbers
+    found = sample.groupBy("label").applyInArrow(centroids, "label string, centre array<double>, radius double, k int").toArrow().sort_by([("label", "ascending"), ("k", "ascending")])
+    dropped(sample)
+    return Model(dims, idf, np.array(found.column("centre").to_pylist()), found.column("label").to_pylist(), found.column("radius").to_numpy())
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """All rows, of them the columns `keep` or else all, with `lang_pred`, `score` and `rejected`."""
     keep = others(docs, ADDED) if keep is None else keep
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # dims times centroids, whatever the input
+    # dims times centroids, whatever the input; plain values, since executors need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast((model.dims, model.idf, model.centres, model.names, model.radius))
 
     @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
     def predict(column: pa.Array) -> pa.Array:
-        out = []
-        for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text", row=shared.value.dims * 8):
-            names, score, rejected = shared.value.predict(texts(part))
+        out, model = [], Model(*shared.value)
+        for part in chunks([pa.RecordBatch.from_arrays([column], ["text"])], "text", row=model.dims * 8):
+            names, score, rejected = model.predict(texts(part))
             out.append(pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ADDED))
         return pa.concat_arrays(out) if out else pa.array([], pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())]))
 

@@ -1,9 +1,14 @@
+import collections
 import itertools
+import re
+import zlib
 
 import numpy as np
+import pytest
 
 from gridloom.llm import language, quality
-from gridloom.llm.licenses import TEMPLATES, banded, scan
+from gridloom.llm.common import held_out
+from gridloom.llm.licenses import TEMPLATES, banded, query, scan
 
 SF = "/root/testdata/sf0.01"
 
@@ -30,6 +35,36 @@ def test_language_edges_and_rejection(spark):
     assert language.identify(docs.limit(0), model).count() == 0
 
 
+def test_language_sample_is_bounded(spark):
+    copies = spark.range(3000).selectExpr("if(id < 1500, null, 7L) as doc_id", "'the cat sat on the mat' as text", "'en' as lang")
+    dirty = spark.range(900).selectExpr("id as doc_id", "concat('wort ', id) as text", "concat('x', id) as lang")
+    model = language.fit(copies.union(dirty), per_language=5, most_languages=10)
+    assert len(set(model.names)) == 10 and model.names.count("en") == 1  # all copies are one text
+    many = language.fit(spark.range(500).selectExpr("id as doc_id", "concat('word ', id, ' and more') as text", "'en' as lang"), per_language=20)
+    assert many.names == ["en"] * 4 and many.idf.min() > 0.9
+
+
+def test_language_against_plain_python(spark):
+    """Vectors, centroids' cosines and predictions of the whole query, recomputed one text at a time."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out()))
+    rows = {r["doc_id"]: r for r in language.query(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        raw, counts = bytes(int(language.FOLD[b]) for b in (r["text"] or "").encode()), np.zeros(model.dims)
+        for n in (2, 3, 4):
+            for i in range(len(raw) - n + 1):
+                code = int.from_bytes(raw[i : i + n], "big") * 0x9E3779B97F4A7C15 + n * 0xD6E8FEB86659FD93
+                counts[(code % 2**64) >> 52] += 1
+        v = np.sqrt(counts) * model.idf
+        cosine = model.centres @ (v / max(np.linalg.norm(v), 1e-300))
+        got = rows[r["doc_id"]]
+        if any(c.isalpha() for c in r["text"] or ""):
+            assert got["lang_pred"] == model.names[int(np.argmax(cosine))] and abs(got["score"] - cosine.max()) < 1e-9
+        else:
+            assert (got["lang_pred"], got["score"]) == ("und", 0)
+        assert got["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+
+
 def test_gram_counts_against_plain_counting():
     docs = [b"", b"a", b"Ab", b"abcab1 c", "éa é".encode()]
     got = language.gram_counts(docs, 4096)
@@ -78,6 +113,60 @@ def test_chain_learns_and_scores_edges(spark):
     assert quality.classify(docs.limit(0), model).count() == 0
 
 
+def test_lines_have_labels_of_their_own():
+    """Document labels alone are given; junk lines inside a good text are bad, and good lines inside junk are good."""
+    rng = np.random.default_rng(4)
+    word = lambda: "".join(rng.choice(list("etaoinshr"), rng.integers(2, 8)))
+    good = lambda: " ".join([word() for _ in range(12)]).capitalize() + "."
+    bad = lambda: " ".join([word().upper() + "!!" for _ in range(9)])
+    documents, labels = [], []
+    for i in range(160):
+        y = i % 2
+        lines = [(good if y else bad)() for _ in range(rng.integers(1, 9))]
+        if i % 5 == 0 and len(lines) > 4:  # some labelled documents hold lines of the other kind
+            lines[2] = (bad if y else good)()
+        documents.append("\n".join(lines).encode())
+        labels.append(y)
+    model = quality.fit_chain(documents, np.array(labels))
+    kinds = [1, 1, 1, 0, 0, 1, 1, 0, 0, 0, 1]
+    probability, _, _ = model.lines(["\n".join((good if k else bad)() for k in kinds).encode()])
+    assert ((probability > 0.5) == np.array(kinds)).all()
+    pure = model.score([good().encode(), bad().encode(), b"\n".join([good().encode()] * 3)])
+    assert pure[0] > 0.5 > pure[1] and pure[2] > 0.5
+
+
+def test_quality_query_against_plain_python(spark):
+    """Scores of the whole query, by marginals of one text at a time."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{sf}/labels.parquet").where(~held_out()))
+    got = {r["doc_id"]: r for r in quality.query(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        features, size, _ = quality.line_features([(r["text"] or "").encode()])
+        unary, n = features @ model.weights, len(size)
+        ahead, back = np.zeros((n, 2)), np.zeros((n, 2))
+        for t in range(n):
+            own = np.array([0.0, unary[t]])
+            ahead[t] = own if not t else own + [np.logaddexp.reduce(ahead[t - 1] + model.trans[:, k]) for k in (0, 1)]
+        for t in range(n - 2, -1, -1):
+            back[t] = [np.logaddexp.reduce(model.trans[k] + np.array([0.0, unary[t + 1]]) + back[t + 1]) for k in (0, 1)]
+        both = ahead + back
+        probability = 1 / (1 + np.exp(np.clip(both[:, 0] - both[:, 1], -40, 40)))
+        score = (probability * (size + 1)).sum() / (size + 1).sum()
+        assert abs(got[r["doc_id"]]["score"] - score) < 1e-9 and got[r["doc_id"]]["predicted"] == (score >= 0.5)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit_chain", lambda documents, labels: seen.append((documents, labels)))
+    docs = spark.range(20_000).selectExpr("1L as doc_id", "'copy' as text").union(spark.range(2, 400).selectExpr("id as doc_id", "concat('text ', id) as text"))
+    docs = docs.union(spark.range(1).selectExpr("500L as doc_id", "repeat('long ', 9000) as text"))
+    labels = spark.range(1, 600).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    quality.fit(docs, labels.union(labels), sample=10)
+    quality.fit(docs.where("doc_id in (1, 2)"), labels, sample=1000)
+    assert [int((seen[0][1] == y).sum()) for y in (0, 1)] == [10, 10] and len(seen[1][0]) == 2 and max(map(len, seen[0][0])) < 20_000
+
+
 def lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, j in itertools.product(range(len(a)), range(len(b))):
@@ -85,6 +174,15 @@ def lcs(a, b):
     return t[-1][-1]
 
 
+def lcs_beside(a, b, start, width):
+    """Most equal words of a and b in order, of places within `width` of the diagonal from `start` on."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            t[i + 1][j + 1] = t[i][j] + 1 if a[i] == b[j] and abs(j - start - i) <= width else max(t[i][j + 1], t[i + 1][j])
+    return t[-1][-1]
+
+
 def test_alignment_against_full_table():
     rng = np.random.default_rng(2)
     for _ in range(60):
@@ -96,6 +194,8 @@ def test_alignment_against_full_table():
 
 def test_license_scan(spark):
     mit = TEMPLATES["MIT"]
+    with pytest.raises(ValueError):
+        scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), most_template_words=100)
     edited = mit.replace("restriction", "limits").replace("copies of the Software", "copies of this new Software", 1)
     rows = [(1, "Intro words. " + mit + " Tail"), (2, "x y " * 50 + edited), (3, "Released under the MIT License. A b c Released under the MIT license"), (4, None), (5, ""), (6, "the software is good"), (6, "w " * 60000 + "Licensed under CC BY-NC 4.0."), (None, mit[:300])]
     docs = spark.createDataFrame([(d, t, "z") for d, t in rows], "doc_id long, text string, licenses string")
@@ -105,3 +205,42 @@ def test_license_scan(spark):
     assert [(m[0], m[2]) for m in got[2][1]] == [("MIT-line", 0), ("MIT-line", 8)]
     assert [g[1] for g in got[3:6]] == [[], [], []] and [m[0] for m in got[6][1]] == ["CC-BY-NC-4.0-line"] and got[7][1] == []
     assert scan(docs.limit(0)).count() == 0
+
+
+def test_license_query_against_search(spark):
+    """The whole query against a search that tries every place of every text, without fingerprints or a band."""
+    sf = "/root/testdata/sf0.001"
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    templates = {n: split(t) for n, t in TEMPLATES.items()}
+    planted = [(10_000 + i, " ".join(["lead", *w[: len(w) // 2], "EXTRA", *w[len(w) // 2 + 1 :], "tail"])) for i, w in enumerate(templates.values())]
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()] + planted
+    out = scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep=["doc_id"])
+    got = {r["doc_id"]: r["licenses"] for r in out.collect()}
+    n_found = 0
+    for d, text in rows:
+        words = split(text)
+        places = collections.defaultdict(set)
+        for i, w in enumerate(words):
+            places[w].add(i)
+        for name, t in templates.items():
+            reported = [m for m in got[d] if m["template"] == name]
+            for m in reported:  # what is reported is there, and no place is counted twice
+                inside = words[m["start"] : m["stop"]]
+                assert m["matched"] == sum(s["stop"] - s["start"] for s in m["spans"]) <= lcs(t, inside) and m["coverage"] == m["matched"] / len(t) >= 0.8
+            # every place where eight tenths of its words are in order along a diagonal, with five of them in a row
+            width, fives = (3 if len(t) >= 30 else 0), {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+            hits = np.zeros(len(words) + 1, int)
+            for w in set(t):
+                hits[list(places[w])] = 1
+            total = np.concatenate(([0], np.cumsum(hits)))
+            for a in range(max(1, len(words) - len(t) + 1)):
+                low, high = max(0, a - width), min(len(words), a + len(t) + width)
+                if not words or words[a] != t[0] or total[high] - total[low] < 0.8 * len(t) or not any(tuple(words[i : i + 5]) in fives for i in range(low, high - 4)):
+                    continue
+                best = lcs_beside(t, words[low:high], a - low, width)
+                if best >= 0.8 * len(t):
+                    n_found += 1
+                    assert max((m["matched"] for m in reported), default=0) >= best, (d, name)
+    assert n_found >= len(templates)
+    mine = sorted((r["doc_id"], r["template"], r["matched"], r["start"], r["stop"]) for r in query(spark, sf).collect())
+    assert mine == sorted((d, m["template"], m["matched"], m["start"], m["stop"]) for d, ms in got.items() for m in ms if d < 10_000)
