@@ -4,7 +4,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from gridloom.llm.packing import best_fit, going_on, pack, pieces_of, query
+from gridloom.llm.packing import Tokens, best_fit, going_on, pack, pieces_of, query
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
@@ -50,7 +50,7 @@ def test_rounds_merge_partitions(spark):
 
 
 def test_odd_texts(spark):
-    rows = [(1, None), (2, ""), (3, " "), (4, "a  b \n c\t d \n"), (5, "<|endoftext|> it's 12 x y z  "), (6, "é" * 5000), (7, "\n\n a\n b"), (8, "x " * 9000), (9, " lead"), (10, "a\x1c b \x85 c"), (11, "a b\n "), (12, "x <|endoftext|>y<|endoftext|> <|endoftext |> z"), (13, "nul \0 in \0it")]
+    rows = [(1, None), (2, ""), (3, " "), (4, "a  b \n c\t d \n"), (5, "<|endoftext|> it's 12 x y z  "), (6, "é" * 5000), (7, "\n\n a\n b"), (8, "x " * 9000), (9, " lead"), (10, "a\x1c b \x85 c"), (11, "a b\n "), (12, "x <|endoftext|>y<|endoftext|> <|endoftext |> z"), (13, "nul \0 in \0it"), (14, "y" * 5000 + " z"), (15, "ſ ﬁ ¡­® \u3000 ١٢ I'LL don't\u2019s")]
     docs = spark.createDataFrame([(a, b, "s", "z") for a, b in rows], "doc_id long, text string, piece string, bin string")
     check(pack(docs).collect(), dict(rows))
     assert pack(docs.limit(0)).count() == 0
@@ -106,3 +106,22 @@ def test_partitions_cost_little(spark):
     bins = {r["sequence_id"] for r in pack(docs).collect()}
     least = -(-sum(len(t) // 5 + 2 for _, t in rows) // 2048)
     assert len(bins) <= 1.015 * least  # a partition of 1,000 documents wastes some five sequences, whatever its size
+
+
+def test_ids_against_the_library():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        tokens = Tokens(f.read(), public_tokenizers.PATTERN)
+    assert tokens.fast
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.text() | st.text("ab '\n\t.,1é<|endoftext>s", max_size=60))
+    def same(text):
+        assert np.frombuffer(tokens.encode(text), "<u4").tolist() == tokens.library.encode(text, add_special_tokens=False).ids
+
+    same()
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        other = Tokens(f.read(), public_tokenizers.PATTERN)
+    assert not other.fast and np.frombuffer(other.encode("Hello there"), "<u4").tolist() == other.library.encode("Hello there", add_special_tokens=False).ids
