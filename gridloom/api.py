@@ -34,6 +34,7 @@ from gridloom.operators.sort import (
     sortperm,
     sortperm_,
 )
+from gridloom.plans.opaque import opaque
 from gridloom.sources import from_array_column, from_range, from_rows, from_table, from_values, to_table
 
 __all__ = [name for name in dir() if not name.startswith("_")]

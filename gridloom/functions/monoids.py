@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.model import FLOATS, limits, literal, storage
+from gridloom.model import BITS, FLOATS, limits, literal, storage
 
 INF = float("inf")
 
@@ -126,9 +127,25 @@ def neutral_element(op: Op, dtype: str) -> Any:
     return monoid(op, None).neutral(dtype)
 
 
+def wrapped(total: Column, dtype: str) -> Column:
+    """A whole number, of any size below 10**37, as the integer type would hold it after wrapping around."""
+    low, high = limits(dtype)
+    span, low = F.lit(Decimal(high - low + 1)).cast("decimal(38,0)"), F.lit(Decimal(low)).cast("decimal(38,0)")
+    return (F.pmod(total.cast("decimal(38,0)") - low, span) + low).cast(storage(dtype))
+
+
 def wrapped_sum(v: Column, dtype: str) -> Column:
     """An integer sum that wraps around like the type would, instead of failing on overflow."""
-    low, high = limits(dtype)
-    span = F.lit(high - low + 1).cast("decimal(38,0)")
-    total = F.sum(v.cast("decimal(20,0)")).cast("decimal(38,0)")
-    return (F.pmod(total - F.lit(low).cast("decimal(38,0)"), span) + F.lit(low).cast("decimal(38,0)")).cast(storage(dtype))
+    return wrapped(F.sum(v.cast("decimal(20,0)")), dtype)
+
+
+def wrapped_product(a: Column, b: Column, dtype: str) -> Column:
+    """`a * b` wrapped around. The 64-bit types multiply by halves of `b`, so that no digit is lost."""
+    if BITS[dtype] < 64:
+        return wrapped(a.cast("decimal(19,0)") * b.cast("decimal(19,0)"), dtype)
+    half = F.lit(Decimal(1 << 32)).cast("decimal(10,0)")
+    low = F.pmod(b.cast("decimal(20,0)"), half).cast("decimal(10,0)")
+    high = ((b.cast("decimal(20,0)") - low) / half).cast("decimal(10,0)")
+    a = a.cast("decimal(20,0)")
+    upper = F.pmod((a * high).cast("decimal(38,0)"), half).cast("decimal(10,0)")
+    return wrapped((a * low).cast("decimal(38,0)") + (upper * half).cast("decimal(38,0)"), dtype)

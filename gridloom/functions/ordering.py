@@ -34,7 +34,15 @@ class Ordering:
 def ordering(lt="<", by=None, rev: bool | None = None, order: str = "forward") -> Ordering:
     """`lt`: "<" or ">". Reversals by `lt`, `rev` and `order` cancel each other in pairs."""
     if lt not in ("<", ">", "isless"):
-        raise ValueError("lt must be '<' or '>'; put other orders into by")
+        raise ValueError("lt must be '<', '>' or a function of two Columns")
     if order not in ("forward", "reverse"):
         raise ValueError("order must be 'forward' or 'reverse'")
     return Ordering(by, (lt == ">") ^ bool(rev) ^ (order == "reverse"))
+
+
+def comparison(lt: Callable[[Column, Column], Column], by=None, rev: bool | None = None, order: str = "forward") -> Callable[[Column, Column], Column]:
+    """A comparison of one's own, reversed or not, of what `by` gives."""
+    if order not in ("forward", "reverse"):
+        raise ValueError("order must be 'forward' or 'reverse'")
+    key = by or (lambda c: c)
+    return (lambda a, b: lt(key(b), key(a))) if bool(rev) ^ (order == "reverse") else (lambda a, b: lt(key(a), key(b)))

@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.errors import DimensionMismatch
-from gridloom.functions.monoids import Monoid, Op, monoid, wrapped_sum
+from gridloom.functions.monoids import Monoid, Op, monoid, wrapped_product, wrapped_sum
 from gridloom.functions.tuning import NONE, Tuning
 from gridloom.model import BITS, FLOATS, DArray, Scalar, literal, logical_type, storage
 from gridloom.plans.folds import column_fold, python_fold
+from gridloom.plans.opaque import called
 
 BUCKET = 4096
 ALL = ":"
@@ -58,13 +59,14 @@ def _grid(known: DArray, kept: list[int]) -> DataFrame:
     return spark.range(fold(mul, shape, 1)).select(*cols)
 
 
-def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, dims=None, dtype: str | None = None, python: bool = False, wrap: bool = False, bucket: int | None = None, tuning: Tuning = NONE) -> Scalar | DArray:
+def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, dims=None, dtype: str | None = None, python: bool = False, python_f: str | None = None, wrap: bool = False, bucket: int | None = None, tuning: Tuning = NONE) -> Scalar | DArray:
     """`f` takes one value from each array (None: the value itself); all arrays must have the same axes.
 
     `dims`: an axis or several (counted from 1), ":" or None for all. Along axes the result keeps its rank
     and reduced axes have size 1. Reduced axes of size 0 give `init` everywhere; a kept axis of size 0 gives an
-    empty array; no axis within the array gives `op(init, f(x))`. `wrap`: integer sums wrap around instead of
-    failing on overflow. `python`: `op` is a function of two Python values.
+    empty array; no axis within the array gives `op(init, f(x))`. `wrap`: integer sums and products wrap around instead
+    of failing on overflow. `python`: `op` is a function of two Python values. `python_f`: `f` is a function of Python
+    values, and this is the type of its results.
     """
     tuning.checked(most_block=512)
     if not arrays:
@@ -76,16 +78,19 @@ def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, d
     kind = _type_of(init, array, dtype)
     which = axes(dims, array.ndim)
     m = Monoid("python", lambda d: neutral, lambda a, b, d: a, lambda v, d, over: None) if python else monoid(op, neutral)
-    value = f(*values) if f else values[0]
+    if wrap and m.name == "*" and kind in BITS:
+        m = replace(m, combine=wrapped_product, agg=lambda v, d, over: None)
+    value = called(f, values, python_f) if f and python_f else f(*values) if f else values[0]
     first = init.cast(_result(kind, m)) if m.name == "extrema" else literal(init, kind)
 
     def finish(total: Column) -> Column:
-        if python:
-            joined = F.udf(lambda x: init if x is None else op(init, x), storage(kind))
-            return joined(total)
+        if python:  # folds begin with init already; of nothing it is init
+            return F.coalesce(total, literal(init, kind))
         start = m.neutral(kind)
         return m.combine(first, F.coalesce(total, start if isinstance(start, Column) else literal(start, kind)), kind)
 
+    if which is not None and not which and python:
+        return array.select(called(lambda x: op(init, x), [value.cast(storage(kind))], kind), kind)
     if which is not None and not which:
         return array.select(finish(value.cast(storage(kind)) if m.name != "extrema" else F.struct(value.alias("min"), value.alias("max"))), kind)
     source_kind = logical_type(array.df.select(value.alias("x")).schema["x"].dataType)
@@ -97,7 +102,7 @@ def mapreduce(f: Callable | None, op: Op, *arrays: DArray, init, neutral=None, d
     def folded(keys: list[str], at: Column, n: int) -> DataFrame:
         rows = array.df.select(*keys, at.cast("bigint").alias("i"), value.cast(storage(kind)).alias("v"))
         size = bucket or tuning.bucket(n, BUCKET)
-        return python_fold(rows, keys, op, n, size) if python else column_fold(rows, keys, lambda a, b: m.combine(a, b, kind), storage(kind), n, size)
+        return python_fold(rows, keys, op, n, size, init) if python else column_fold(rows, keys, lambda a, b: m.combine(a, b, kind), storage(kind), n, size)
 
     if which is None:
         if native:

@@ -6,10 +6,12 @@ values and else two levels of buckets, so no task sorts the whole array.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions.monoids import Monoid, Op, monoid
+from gridloom.functions.monoids import Monoid, Op, monoid, wrapped, wrapped_product
 from gridloom.functions.tuning import NONE, Tuning
 from gridloom.model import BITS, FLOATS, DArray, literal, storage
 from gridloom.plans.prefix import column_scan, native_scan, python_scan
@@ -39,13 +41,13 @@ def _init_type(init) -> str:
     return {int: "int64", float: "float64", complex: "complex128"}.get(type(init), "")
 
 
-def accumulate(op: Op, array: DArray, *, init, neutral=None, dims: int | None = None, inclusive: bool = True, alg: str = "prefixes", dtype: str | None = None, python: bool = False, carry: tuple[str, ...] = (), bucket: int | None = None, tuning: Tuning = NONE) -> DArray:
+def accumulate(op: Op, array: DArray, *, init, neutral=None, dims: int | None = None, inclusive: bool = True, alg: str = "prefixes", dtype: str | None = None, python: bool = False, wrap: bool = False, carry: tuple[str, ...] = (), bucket: int | None = None, tuning: Tuning = NONE) -> DArray:
     """A scan by a named operation, a Column function `op(a, b)` with its `neutral`, or with `python=True`
     by a function of two Python values. `op` must be associative.
 
     `dims` beyond the array, or an empty array, gives the input unchanged (`init` isn't applied). `dtype` is
     the result's type; by default the input's, or a wider one that `init` needs. `carry` names other columns
-    of the array that the result keeps.
+    of the array that the result keeps. `wrap`: integer sums and products wrap around instead of failing on overflow.
     """
     tuning.checked(least_elems=2)
     if alg not in ALGORITHMS:
@@ -63,27 +65,27 @@ def accumulate(op: Op, array: DArray, *, init, neutral=None, dims: int | None =
         keys, length, at = [c for c in known.index if c != known.index[dims - 1]], known.shape[dims - 1], F.col(known.index[dims - 1])
     if not len(known):
         return array.select(F.col(array.value), kind, carry)
+    wrap = wrap and kind in BITS and m.name in ("+", "*")
+    if wrap and m.name == "*":
+        m = replace(m, combine=wrapped_product, agg=lambda v, d, over: None)
+    inner = "decimal(38,0)" if wrap and m.name == "+" else kind  # sums are exact and wrapped at the end
     native = m.native(known.dtype)
     size = bucket or tuning.bucket(length, BUCKET if native else SMALL_BUCKET)
-    work = known.df.select(*keys, *carry, at.cast("bigint").alias("i"), F.col(known.value).cast(storage(kind) if kind != "bool" else "boolean").alias("v"))
+    work = known.df.select(*keys, *carry, at.cast("bigint").alias("i"), F.col(known.value).cast(storage(inner) if kind != "bool" else "boolean").alias("v"))
     if native:
         out = native_scan(work, keys, lambda v, over: m.total(v, known.dtype, over), lambda a, b: m.combine(a, b, known.dtype), length, size, not inclusive)
     elif python:
-        out = python_scan(work.select(*keys, "i", "v"), keys, op, storage(kind), length, size, not inclusive)
+        out = python_scan(work.select(*keys, "i", "v"), keys, op, length, size, not inclusive, (init,))
     else:
         out = column_scan(work.select(*keys, "i", "v"), keys, lambda a, b: m.combine(a, b, kind), storage(kind), length, size, not inclusive)
     if not native and carry:
         out = out.join(work.select(*keys, "i", *carry), [*keys, "i"])
-    first = literal(init, kind)
     if python:
-        @F.udf(storage(kind))
-        def joined(value):
-            return init if value is None else op(init, value)
-
-        value = joined(F.col("v"))
+        value = F.col("v")
     else:
         start = m.neutral(kind)
-        value = m.combine(first, F.coalesce(F.col("v"), start if isinstance(start, Column) else literal(start, kind)), kind)
+        value = m.combine(literal(init, inner), F.coalesce(F.col("v"), start if isinstance(start, Column) else literal(start, inner)), kind)
+        value = wrapped(value, kind) if inner != kind else value
     if dims is None:
         place = _from_linear(known)
     else:
@@ -114,11 +116,11 @@ def _widened(array: DArray, init) -> str:
     return promoted(kind, wanted) if wanted == "float64" and kind in BITS else kind
 
 
-def cumsum(array: DArray, init=0, dims: int | None = None, tuning: Tuning = NONE, bucket: int | None = None) -> DArray:
+def cumsum(array: DArray, init=0, dims: int | None = None, wrap: bool = False, tuning: Tuning = NONE, bucket: int | None = None) -> DArray:
     """Inclusive sums; booleans count as integers."""
-    return accumulate("+", _counted(array), init=init, dims=dims, dtype=_widened(array, init), tuning=tuning, bucket=bucket)
+    return accumulate("+", _counted(array), init=init, dims=dims, dtype=_widened(array, init), wrap=wrap, tuning=tuning, bucket=bucket)
 
 
-def cumprod(array: DArray, init=1, dims: int | None = None, tuning: Tuning = NONE, bucket: int | None = None) -> DArray:
-    """Inclusive products; exact for integers."""
-    return accumulate("*", _counted(array), init=init, dims=dims, dtype=_widened(array, init), tuning=tuning, bucket=bucket)
+def cumprod(array: DArray, init=1, dims: int | None = None, wrap: bool = False, tuning: Tuning = NONE, bucket: int | None = None) -> DArray:
+    """Inclusive products; exact for integers, or wrapped around with `wrap`."""
+    return accumulate("*", _counted(array), init=init, dims=dims, dtype=_widened(array, init), wrap=wrap, tuning=tuning, bucket=bucket)

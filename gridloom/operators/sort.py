@@ -1,7 +1,8 @@
 """Stable sorts, permutations and sorts by key.
 
 A global sort is a range partition of a sample's splitters and a local sort, which spills; ties go by the old
-index, so sorts are stable and a hot key is split over partitions. Ranks come from `plans.ordered`.
+index, so sorts are stable and a hot key is split over partitions. Ranks come from `plans.ordered`. `lt` may be a strict
+weak order of one's own, a function of two Columns; then buckets between sampled splitters are sorted as arrays.
 """
 
 from __future__ import annotations
@@ -12,10 +13,10 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.ordering import ordering
+from gridloom.functions.ordering import comparison, ordering
 from gridloom.functions.tuning import NONE, Tuning
 from gridloom.model import DArray
-from gridloom.plans.ordered import SMALL, numbered
+from gridloom.plans.ordered import SMALL, numbered, ranked_by
 
 RADIX_TYPES = ("int32", "int64", "uint32", "uint64", "float32", "float64")
 
@@ -23,13 +24,16 @@ RADIX_TYPES = ("int32", "int64", "uint32", "uint64", "float32", "float64")
 def _allowed(alg: str | None, array: DArray, lt, by, permutation: bool = False) -> None:
     if alg not in (None, "merge", "sample", "radix"):
         raise ValueError("alg must be merge, sample or radix")
-    if alg == "radix" and (permutation or by is not None or lt not in ("<", "isless") or array.dtype not in RADIX_TYPES):
+    if alg == "radix" and (permutation or by is not None or callable(lt) or lt not in ("<", "isless") or array.dtype not in RADIX_TYPES):
         raise ValueError("radix sort takes 32 and 64 bit numbers in their own order only, and gives no permutation")
 
 
 def _ranked(array: DArray, extra: dict[str, str], lt, by, rev, order, small: int) -> tuple[DataFrame, int]:
     """Rows `(_rank, i, v, extra...)`."""
     known = array.known()
+    if callable(lt):
+        rows = known.df.select(known.linear().alias("i"), F.lit(0).alias("t"), F.col(known.value).alias("k"), *[F.col(c).alias(n) for n, c in extra.items()])
+        return ranked_by(rows, comparison(lt, by, rev, order), "_rank", len(known)).withColumnRenamed("k", "v").drop("t"), len(known)
     wanted = ordering(lt, by, rev, order)
     keys = wanted.keys(F.col("v"), known.df.schema[known.value].dataType)
     rows = known.df.select(known.linear().alias("i"), F.col(known.value).alias("v"), *[F.col(c).alias(n) for n, c in extra.items()])

@@ -7,11 +7,14 @@ No task holds more than `size` values of a bucket at once, and the order of oper
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.plans.opaque import from_python, to_python
+
 
 def column_fold(df: DataFrame, keys: list[str], op: Callable[[Column, Column], Column], kind: str, n: int, size: int) -> DataFrame:
     """`(keys, i, v)` to `(keys, v)`: at most n positions a key."""
@@ -25,20 +28,20 @@ def column_fold(df: DataFrame, keys: list[str], op: Callable[[Column, Column], C
         n = -(-n // size)
 
 
-def python_fold(df: DataFrame, keys: list[str], op: Callable, n: int, size: int) -> DataFrame:
-    while True:
-        df = df.select(*keys, "i", "v", F.floor((F.col("i") - 1) / size).alias("_b"))
+def python_fold(df: DataFrame, keys: list[str], op: Callable, n: int, size: int, init) -> DataFrame:
+    """`(keys, i, v)` to `(keys, v)`, which is `op(init, fold)`, by a function of two Python values."""
+    def folded(last: bool) -> Callable[[pa.Table], pa.Table]:
+        def fold(table: pa.Table) -> pa.Table:
+            table = table.sort_by("i")
+            total = reduce(op, to_python(table.column("v")))
+            at = table.schema.get_field_index("v")
+            return table.slice(0, 1).set_column(at, "v", from_python([op(init, total) if last else total], table.schema.field(at).type))
 
-        def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("i")
-            out, total = pdf.head(1).copy(), None
-            for x in pdf["v"].tolist():
-                total = x if total is None else op(total, x)
-            out["v"] = total
-            return out
+        return fold
 
-        df = df.groupBy(*keys, "_b").applyInPandas(fold, df.schema)
-        df = df.select(*keys, (F.col("_b") + 1).alias("i"), "v")
+    while True:
+        df = df.select(*keys, "i", "v", F.floor((F.col("i") - 1) / size).alias("_b"))
+        df = df.groupBy(*keys, "_b").applyInArrow(folded(n <= size), df.schema).select(*keys, (F.col("_b") + 1).alias("i"), "v")
         if n <= size:
             return df.drop("i")
         n = -(-n // size)

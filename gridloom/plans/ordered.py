@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.scratch import stored
 
-SMALL = 1_000_000
+SMALL = 250_000
 
 
 def _laid_out(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -57,3 +57,48 @@ def running(df: DataFrame, order: list[Column], agg: Callable[[Column], Column],
 
     both = local.join(F.broadcast(carry), "_part").select(*df.columns, joined("_upto").alias("_upto"), joined("_before").alias("_before"))
     return both
+
+
+def _compared(less: Callable[[Column, Column], Column], a: Column, b: Column) -> Column:
+    """-1, 0 or 1 of structs (k, t, i): by `less` of k, then by t and i."""
+    tie = F.when(a["t"] != b["t"], F.when(a["t"] < b["t"], -1).otherwise(1)).when(a["i"] < b["i"], -1).when(a["i"] > b["i"], 1).otherwise(0)
+    return F.when(less(a["k"], b["k"]), -1).when(less(b["k"], a["k"]), 1).otherwise(tie)
+
+
+def ranked_by(df: DataFrame, less: Callable[[Column, Column], Column], name: str, n: int, target: int = 1 << 15) -> DataFrame:
+    """Rows `(i, t, k, ...)` with their 1-based rank by a comparison of k, ties by t and i, which is unique with t.
+
+    A sample of 32 rows for each bucket of about `target` rows, ordered by the comparison, gives the splitters. Each row finds its
+    bucket by binary search and each bucket is sorted as an array. Ties are split between buckets, as t and i are in the order.
+    """
+    row = F.struct("k", "t", "i", *[c for c in df.columns if c not in ("k", "t", "i")])
+    order = lambda a, b: _compared(less, a, b)
+    parts = -(-n // target)
+    if parts > 1:
+        some = df.where(F.pmod(F.xxhash64("i", "t"), F.lit(max(1, n // (32 * parts)))) == 0)
+        picked = some.agg(F.array_sort(F.collect_list(F.struct("k", "t", "i")), order).alias("s"))
+        picked = stored(picked.select(F.transform(F.sequence(F.lit(1), F.lit(parts - 1)), lambda j: F.get("s", F.floor(j * F.size("s") / parts).cast("int"))).alias("s")))
+        span = F.struct(F.lit(0).alias("low"), F.lit(parts - 1).alias("high"))
+        own = F.struct("k", "t", "i")
+
+        def halved(s: Column, _: Column) -> Column:
+            mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+            at = F.get("_splits", mid)
+            right = (s["low"] < s["high"]) & at.isNotNull() & (order(at, own) <= 0)
+            return F.struct(F.when(right, mid + 1).otherwise(s["low"]).alias("low"), F.when(right | (s["low"] >= s["high"]), s["high"]).otherwise(mid).alias("high"))
+
+        steps = F.sequence(F.lit(1), F.lit(parts.bit_length() + 1))
+        df = df.withColumn("_splits", picked.scalar()).withColumn("_bucket", F.aggregate(steps, span, halved, lambda s: s["low"])).drop("_splits")
+    else:
+        df = df.withColumn("_bucket", F.lit(0))
+    sorted_ = df.groupBy("_bucket").agg(F.array_sort(F.collect_list(row), order).alias("_rows"))
+    if parts > 1:
+        sorted_ = stored(sorted_)
+        counts = sorted_.select("_bucket", F.size("_rows").alias("_n"))
+        before = F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # one row for each bucket
+        sorted_ = sorted_.join(F.broadcast(counts.select("_bucket", before.alias("_carry"))), "_bucket")
+    else:
+        sorted_ = sorted_.withColumn("_carry", F.lit(0))
+    placed = sorted_.select("_carry", F.posexplode("_rows").alias("_p", "_r"))
+    return placed.select("_r.*", (F.col("_carry") + F.col("_p") + 1).cast("bigint").alias(name))

@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable
+from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gridloom.plans.opaque import from_python, to_python
 
 Combine = Callable[[Column, Column], Column]
 #: An aggregate of a column; the second argument is applied to each aggregate function in it.
@@ -41,13 +45,20 @@ def _carried(local: DataFrame, totals: DataFrame, keys: list[str], scan: Callabl
     return both.withColumn("v", F.when(c.isNull(), v).when(v.isNull(), c).otherwise(combine(c, v))).drop("_b", "_carry")
 
 
+def _combined(op: Combine, kind: str, reach: int) -> Combine:
+    return lambda v, k: F.when(k >= reach, op(F.get("_s", k - reach), v).cast(kind)).otherwise(v)
+
+
 def column_scan(df: DataFrame, keys: list[str], op: Combine, kind: str, n: int, size: int, exclusive: bool) -> DataFrame:
-    """A scan by any Column function `op(a, b)`: each bucket is folded as one array of at most `size` values."""
+    """A scan by any associative Column function `op(a, b)`: each bucket of at most `size` values is an array, in which
+    values are combined with those 1, 2, 4, ... places before."""
     bucketed = df.select(*keys, "i", "v", F.floor((F.col("i") - 1) / size).alias("_b"))
     rows = bucketed.groupBy(*keys, "_b").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("_x"))
-    start = F.array().cast(f"array<{kind}>")
-    after = F.aggregate("_x", start, lambda s, x: F.concat(s, F.array(F.when(F.size(s) == 0, x["v"]).otherwise(op(F.get(s, F.size(s) - 1), x["v"])).cast(kind))))
-    rows = rows.withColumn("_s", after)
+    rows = rows.withColumn("_s", F.transform("_x", lambda x: x["v"].cast(kind)))
+    reach = 1
+    while reach < min(size, n):
+        rows = rows.withColumn("_s", F.transform("_s", _combined(op, kind, reach)))
+        reach *= 2
     local = rows.select(*keys, "_b", "_s", F.posexplode("_x.i").alias("_p", "i"))
     value = F.get("_s", F.col("_p") - 1) if exclusive else F.col("_s")[F.col("_p")]
     local = local.select(*keys, "i", "_b", value.alias("v"))
@@ -57,38 +68,38 @@ def column_scan(df: DataFrame, keys: list[str], op: Combine, kind: str, n: int,
     return _carried(local, totals, keys, lambda t, m: column_scan(t, keys, op, kind, m, size, True), op, n, size)
 
 
-def python_scan(df: DataFrame, keys: list[str], op: Callable, kind: str, n: int, size: int, exclusive: bool) -> DataFrame:
-    """A scan by an opaque Python function of two values, a bucket at a time.
+def python_scan(df: DataFrame, keys: list[str], op: Callable, n: int, size: int, exclusive: bool, start: tuple = ()) -> DataFrame:
+    """A scan by an opaque Python function of two values, a bucket at a time; `start` holds what all begin with, if anything.
 
-    Each row gets its value and what is combined on the left of it, so carries are Python calls too.
+    Each row gets its value and what is combined on the left of it, so carries are Python calls too. Whether there is
+    anything on the left is a column of its own (`_has`), since any value may be a result.
     """
     bucketed = df.select(*keys, "i", "v", F.floor((F.col("i") - 1) / size).alias("_b"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        out = pdf.head(1).copy()
-        total = None
-        for x in pdf["v"].tolist():
-            total = x if total is None else op(total, x)
-        out["v"] = total
-        return out
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        carry = pdf["_carry"].iloc[0]
-        values = pdf["v"].tolist()
-        run = list(itertools.accumulate(values if pd.isna(carry) else [carry, *values], op))
-        if pd.isna(carry):
-            run = [None, *run]
-        pdf = pdf.drop(columns="_carry")
-        pdf["v"] = pd.array(run[:-1] if exclusive else run[1:], dtype=object)
-        return pdf
-
-    schema = bucketed.schema
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        at = table.schema.get_field_index("v")
+        return table.slice(0, 1).set_column(at, "v", from_python([reduce(op, to_python(table.column("v")))], table.schema.field(at).type))
+
+    def scan(table: pa.Table) -> pa.Table:
+        table = table.sort_by("i")
+        at, carry = table.schema.get_field_index("v"), table.column("_carry").slice(0, 1).combine_chunks()
+        left = to_python(carry.field(0)) if carry.is_valid()[0].as_py() else []
+        run = list(itertools.accumulate([*left, *to_python(table.column("v"))], op))
+        values = run[:-1] if exclusive else run[len(left) :]
+        values = [op(start[0], x) for x in values] if start else values
+        none = table.num_rows - len(values)  # an exclusive scan's first row has nothing on its left
+        values = [*(start if none and start else [None] * none), *values]
+        out = table.set_column(at, "v", from_python(values, table.schema.field(at).type)).drop_columns(["_carry", "_b"])
+        return out.append_column("_has", pa.array([k >= none or bool(start) for k in range(table.num_rows)]))
+
+    kind = bucketed.schema["v"].dataType.simpleString()
+    none = F.lit(None).cast(f"struct<v:{kind}>").alias("_carry")
     if n <= size:
-        joined = bucketed.withColumn("_carry", F.lit(None).cast(kind))
+        joined = bucketed.select("*", none)
     else:
-        totals = bucketed.groupBy(*keys, "_b").applyInPandas(fold, schema).select(*keys, (F.col("_b") + 1).alias("i"), "v")
-        carry = python_scan(totals, keys, op, kind, -(-n // size), size, True)
-        joined = bucketed.join(carry.select(*keys, (F.col("i") - 1).alias("_b"), F.col("v").alias("_carry")), [*keys, "_b"], "left")
-    return joined.groupBy(*keys, "_b").applyInPandas(scan, schema).drop("_b")
+        totals = bucketed.groupBy(*keys, "_b").applyInArrow(fold, bucketed.schema).select(*keys, (F.col("_b") + 1).alias("i"), "v")
+        carry = python_scan(totals, keys, op, -(-n // size), size, True).where("_has")
+        joined = bucketed.join(carry.select(*keys, (F.col("i") - 1).alias("_b"), F.struct("v").alias("_carry")), [*keys, "_b"], "left").select(*bucketed.columns, "_carry")
+    out = joined.groupBy(*keys, "_b").applyInArrow(scan, T.StructType([*[f for f in bucketed.schema if f.name != "_b"], T.StructField("_has", T.BooleanType())]))
+    return out.drop("_has") if start else out

@@ -172,10 +172,20 @@ def sum_wrapping(spark, d):
     return g.sum(_customers(spark, d, "c_nationkey"), wrap=True).df
 
 
-@query("SELECT CAST(product(event_id % 2 + 1) AS BIGINT) AS v FROM events WHERE event_id < 60")
+_SIGNS = "SELECT CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) % 2 AS BIGINT) AS odd, count(*) AS n FROM events"
+
+
+@query(f"SELECT CAST(CASE WHEN odd = 1 THEN -1 ELSE 1 END * power(2, n // 5000) AS BIGINT) AS v FROM ({_SIGNS})")
 def prod_int(spark, d):
-    e = _table(spark, d, "events").where("event_id < 60").select((F.col("event_id") + 1).alias("i"), (F.col("event_id") % 2 + 1).alias("v"))
-    return g.prod(g.DArray(e, shape=(60,))).df
+    """Signs of all events, and a two for each 5,000 of them, whose product a long holds."""
+    df = _table(spark, d, "events").select((F.col("event_id") + 1).alias("i"), F.when(F.col("event_id") % 3 == 0, -1).otherwise(1).alias("s"), F.when((F.col("event_id") + 1) % 5000 == 0, 2).otherwise(1).alias("t"))
+    return g.prod(g.DArray(df.select("i", (F.col("s") * F.col("t")).cast("bigint").alias("v")), shape=(df.count(),))).df
+
+
+@query("SELECT CAST((x + 2147483648) % 4294967296 - 2147483648 AS INTEGER) AS v FROM (SELECT list_reduce(list(CAST(event_id * 2 + 1 AS HUGEINT) ORDER BY event_id), lambda a, b: a * b % 4294967296) AS x FROM events)")
+def prod_wrapping(spark, d):
+    e = _events(spark, d, "event_id")
+    return g.prod(g.DArray(e.df.select("i", (F.col("v") * 2 + 1).cast("int").alias("v")), shape=e.shape), wrap=True).df
 
 
 @query("SELECT min(value) AS v FROM events")
@@ -388,6 +398,226 @@ def range_source(spark, d):
     return g.map(lambda v: v * v, g.from_range(spark, 1, 1000)).df
 
 
+@query("SELECT event_id + 1 AS i, user_id * 3 + 1 AS v FROM events")
+def map_python(spark, d):
+    return g.map(lambda v: v * 3 + 1, _events(spark, d), python=True).df
+
+
+@query("SELECT event_id + 1 AS i, user_id * 3 AS v FROM events")
+def map_python_batch(spark, d):
+    import pyarrow.compute as pc
+
+    return g.map(lambda v: pc.multiply(v, 3), _events(spark, d), python="batch").df
+
+
+@query("SELECT event_id + 1 AS i, user_id * 2 - (event_id + 1) AS v FROM events")
+def foreachindex_two_arrays(spark, d):
+    e = _events(spark, d)
+    return g.foreachindex(lambda a, b, i: a + b - i, e, _events(spark, d)).df
+
+
+@query("SELECT event_id + 1 AS i, user_id * (event_id + 1) AS v FROM events")
+def foreachindex_python(spark, d):
+    return g.foreachindex(lambda v, i: v * i, _events(spark, d), python=True).df
+
+
+@query(_E + "SELECT i1, i2, i3, v - min(v) OVER (PARTITION BY i1) AS v FROM e")
+def foraxes_python(spark, d):
+    return g.foraxes(lambda i, row: [x - min(row) for x in row], _scaled(spark, d), dims=1, python=True).df
+
+
+@query("SELECT CAST(3 + sum(user_id) AS BIGINT) AS v FROM events")
+def reduce_python(spark, d):
+    return g.reduce(lambda a, b: a + b, _events(spark, d), init=3, neutral=0, python=True).df
+
+
+_HOLED = "CASE WHEN event_id % 1000 = 7 THEN CAST('NaN' AS DOUBLE) ELSE CAST(user_id AS DOUBLE) END"
+
+
+def _holed(spark, d):
+    e = _events(spark, d)
+    return g.DArray(e.df.select("i", F.when((F.col("i") - 1) % 1000 == 7, F.lit(float("nan"))).otherwise(F.col("v").cast("double")).alias("v")), shape=e.shape)
+
+
+@query(f"SELECT bool_or(isnan({_HOLED})) AS is_nan FROM events")
+def reduce_python_nan(spark, d):
+    return g.reduce(lambda a, b: a + b, _holed(spark, d), init=0.0, neutral=0.0, python=True).df.select(F.isnan("v").alias("is_nan"))
+
+
+@query(f"SELECT event_id + 1 AS i, CAST(4 + sum(user_id) {_UPTO} AS BIGINT) AS v FROM events")
+def accumulate_python(spark, d):
+    return g.accumulate(lambda a, b: a + b, _events(spark, d), init=4, neutral=0, python=True).df
+
+
+@query(f"SELECT event_id + 1 AS i, event_id > 7 AS is_nan, CASE WHEN event_id > 7 THEN -1 ELSE coalesce(sum(user_id) {_BEFORE}, 0) END::DOUBLE AS v FROM events")
+def accumulate_python_nan(spark, d):
+    out = g.accumulate(lambda a, b: a + b, _holed(spark, d), init=0.0, neutral=0.0, inclusive=False, python=True).df
+    return out.select("i", F.isnan("v").alias("is_nan"), F.when(F.isnan("v"), -1.0).otherwise(F.col("v")).alias("v"))
+
+
+@query("SELECT CAST(sum(length(event_type)) AS BIGINT) AS v FROM events")
+def mapreduce_python_f(spark, d):
+    return g.mapreduce(len, "+", _events(spark, d, "event_type"), init=0, python_f="int64", dtype="int64").df
+
+
+@query("SELECT count(*) FILTER (WHERE user_id % 7 = 3) AS n, bool_or(user_id = 5) AS some, bool_and(user_id >= 1) AS every FROM events")
+def predicates_python(spark, d):
+    e = _events(spark, d)
+    n, some = g.count(e, lambda v: v % 7 == 3, python=True).get(), g.any(lambda v: v == 5, e, python=True).get()
+    return spark.range(1).select(F.lit(n).cast("bigint").alias("n"), F.lit(some).alias("some"), F.lit(g.all(lambda v: v >= 1, e, python=True).get()).alias("every"))
+
+
+@query(f"SELECT event_id + 1 AS i, CAST(((s + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS INTEGER) AS v FROM (SELECT event_id, sum(CAST(user_id * 1000003 % 2147483647 AS HUGEINT)) {_UPTO} AS s FROM events)")
+def cumsum_wrapping(spark, d):
+    e = _events(spark, d)
+    return g.cumsum(g.DArray(e.df.select("i", (F.col("v") * 1000003 % 2147483647).cast("int").alias("v")), shape=e.shape), wrap=True, bucket=2048).df
+
+
+@query(_E + "SELECT i1, i2, i3, CAST(((x + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS INTEGER) AS v FROM (SELECT i1, i2, i3, list_reduce(list(CAST(v + 5 AS HUGEINT)) OVER (PARTITION BY i1, i2 ORDER BY i3 ROWS UNBOUNDED PRECEDING), lambda a, b: a * b) AS x FROM e)")
+def cumprod_wrapping_dims(spark, d):
+    e = _scaled(spark, d)
+    return g.cumprod(g.DArray(e.df.select("i1", "i2", "i3", (F.col("v") + 5).cast("int").alias("v")), e.index, "v", e.shape), dims=3, wrap=True).df
+
+
+@query(f"SELECT event_id + 1 AS i, CAST(sum(user_id) {_UPTO} AS DOUBLE) AS v FROM events")
+def accumulate_into(spark, d):
+    e = _events(spark, d)
+    return g.accumulate_("+", g.DArray(e.df.select("i", F.col("v").cast("double").alias("v")), shape=e.shape), e, init=0).df
+
+
+@query(f"SELECT event_id + 1 AS i, min(user_id) {_UPTO} AS v FROM events")
+def accumulate_lookback(spark, d):
+    return g.accumulate("min", _events(spark, d), init=2**40, alg="lookback", tuning=g.Tuning(max_tasks=4, block_size=256)).df
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id % 10, user_id DESC, event_id) AS i, user_id AS v FROM events")
+def sort_custom_lt(spark, d):
+    less = lambda a, b: (a % 10 < b % 10) | ((a % 10 == b % 10) & (a > b))
+    return g.sort(_events(spark, d), lt=less).df
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id % 10 DESC, event_id) AS i, event_id + 1 AS v FROM events")
+def sortperm_custom_lt(spark, d):
+    return g.sortperm(_events(spark, d), lt=lambda a, b: a % 10 < b % 10, rev=True).df
+
+
+@query("SELECT e.event_id + 1 AS i, coalesce(max(k.n), 0) + 1 AS v FROM events e LEFT JOIN (SELECT o_custkey % 50 AS k, CAST(sum(count(*)) OVER (ORDER BY o_custkey % 50) AS BIGINT) AS n FROM orders GROUP BY o_custkey % 50) k ON k.k < e.user_id % 50 GROUP BY e.event_id")
+def searchsortedfirst_custom_lt(spark, d):
+    less = lambda a, b: a % 50 < b % 50
+    return g.searchsortedfirst(g.sort(_orders(spark, d, "o_custkey"), lt=less), _events(spark, d), lt=less).df
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id DESC, event_id) AS i, user_id AS v FROM events")
+def sort_order_composition(spark, d):
+    return g.sort(_events(spark, d), lt=">", rev=True, order="reverse").df
+
+
+@query("SELECT row_number() OVER (ORDER BY user_id * 37 % 1009, event_id) AS i, user_id AS v FROM events")
+def sort_by_python(spark, d):
+    return g.sort(_events(spark, d), by=g.opaque(lambda v: v * 37 % 1009, "int64")).df
+
+
+_SORTED = "SELECT row_number() OVER (ORDER BY user_id, event_id) AS i, user_id AS v FROM events"
+_PERMUTED = "SELECT row_number() OVER (ORDER BY user_id, event_id) AS i, event_id + 1 AS v FROM events"
+
+
+def _variant(name, sql, run):
+    def f(spark, d):
+        return run(_events(spark, d)).df
+
+    f.__name__ = name
+    query(sql)(f)
+
+
+_variant("sort_merge", _SORTED, g.merge_sort)
+_variant("sort_sample", _SORTED, g.sample_sort)
+_variant("sort_radix", _SORTED, g.radix_sort)
+_variant("sort_in_place", _SORTED, g.sort_)
+_variant("sortperm_sample", _PERMUTED, g.sample_sortperm)
+_variant("sortperm_lowmem", _PERMUTED, g.merge_sortperm_lowmem)
+_variant("sortperm_into", _PERMUTED.replace("event_id + 1", "CAST(event_id + 1 AS INTEGER)"), lambda e: g.sortperm_(g.DArray(e.df.select("i", F.col("v").cast("int").alias("v")), shape=e.shape), e))
+_variant("reverse_into", "SELECT (SELECT count(*) FROM events) - event_id AS i, CAST(user_id AS DOUBLE) AS v FROM events", lambda e: g.reverse_(g.DArray(e.df.select("i", F.col("v").cast("double").alias("v")), shape=e.shape), e))
+
+
+@query("SELECT event_id + 1 AS i, user_id AS v FROM events")
+def rows_in_file_order(spark, d):
+    return g.from_rows(_table(spark, d, "events"), "user_id").df
+
+
+@query("SELECT event_id + 1 AS i, user_id AS v FROM events")
+def copy_to_table_and_back(spark, d):
+    from gridloom.plans.scratch import scratch
+
+    path = scratch(spark)
+    g.to_table(_events(spark, d), path, partitions=3)
+    return g.from_table(spark.read.parquet(path), "i", "v").df
+
+
+@query("SELECT CAST(1 AS BIGINT) AS i1, i2, CAST(7 AS BIGINT) AS v FROM generate_series(1, 3) t(i2)")
+def reduce_over_an_empty_axis(spark, d):
+    none = _events(spark, d).df.where("v < 0").select(F.col("i").alias("i1"), F.col("i").alias("i2"), "v")
+    return g.reduce("+", g.DArray(none, ("i1", "i2"), "v", (0, 3)), init=7, dims=1).df
+
+
+@query("SELECT max(l_quantity * (1 + l_discount)) AS v FROM lineitem")
+def mapreduce_struct_to_number(spark, d):
+    df = _table(spark, d, "lineitem").select(F.lit(1).alias("i"), F.struct(F.col("l_quantity").alias("x"), F.col("l_discount").alias("y")).alias("v"))
+    return g.mapreduce(lambda p: p["x"] * (1 + p["y"]), "max", g.DArray(df), init=float("-inf"), dtype="float64").df
+
+
+@query("SELECT t AS task, count(*) AS n, CAST(max(user_id) AS BIGINT) AS top, CAST(min(event_id + 1) AS BIGINT) AS start FROM (SELECT event_id, user_id, CAST(floor(event_id * 8 / (SELECT count(*) FROM events)) AS BIGINT) + 1 AS t FROM events) GROUP BY t")
+def itask_partition_totals(spark, d):
+    import pandas as pd
+
+    def totals(task, rows):
+        return pd.DataFrame({"task": [task], "n": [len(rows)], "top": [rows["v"].max()], "start": [rows["i"].iloc[0]]})
+
+    return g.itask_partition(totals, _events(spark, d), "task long, n long, top long, start long", 8)
+
+
+@query("SELECT event_id + 1 AS i, user_id AS v, CAST(row_number() OVER (PARTITION BY t ORDER BY event_id) AS BIGINT) AS place FROM (SELECT event_id, user_id, CAST(floor(event_id * 8 / (SELECT count(*) FROM events)) AS BIGINT) AS t FROM events)")
+def task_partition_rows(spark, d):
+    return g.task_partition(lambda rows: rows.assign(place=range(1, len(rows) + 1)), _events(spark, d), "i long, v long, place long", 8)
+
+
+@query("SELECT CAST(-5 AS TINYINT) AS a, CAST(300 AS SMALLINT) AS b, CAST(70000 AS INTEGER) AS c, CAST(5000000000 AS BIGINT) AS d, CAST(200 AS SMALLINT) AS e, CAST(60000 AS INTEGER) AS f, CAST(4000000000 AS BIGINT) AS g, CAST(18446744073709551615 AS DECIMAL(20,0)) AS h")
+def typed_literals(spark, d):
+    return spark.range(1).select(g.i8(-5).alias("a"), g.i16(300).alias("b"), g.i32(70000).alias("c"), g.i64(5 * 10**9).alias("d"), g.u8(200).alias("e"), g.u16(60000).alias("f"), g.u32(4 * 10**9).alias("g"), g.u64(2**64 - 1).alias("h"))
+
+
+@query("SELECT i, CAST(floor((i - 1) * 1000 / 6) AS BIGINT) + 10 AS v FROM generate_series(1, 7) t(i)")
+def linspace(spark, d):
+    return g.int_linspace(spark, 10, 1010, 7).df
+
+
+@query("SELECT 'spark' AS backend, min(user_id) AS v FROM events")
+def backend_and_synchronize(spark, d):
+    e = _events(spark, d)
+    g.synchronize(e)
+    return g.minimum(e).df.select(F.lit(g.get_backend(e)).alias("backend"), "v")
+
+
+@query("SELECT * FROM (VALUES ('length', true), ('negative dims', true), ('radix permutation', true), ('shape', true), ('unknown algorithm', true), ('unknown operation', true)) t(name, raised)")
+def errors_raised(spark, d):
+    e, n = _events(spark, d), g.from_range(spark, 1, 3)
+    cases = {
+        "length": (ValueError, lambda: g.reverse_(n, e)),
+        "negative dims": (ValueError, lambda: g.reduce("+", e, init=0, dims=-1)),
+        "radix permutation": (ValueError, lambda: g.sortperm(e, alg="radix")),
+        "shape": (g.DimensionMismatch, lambda: g.mapreduce(lambda a, b: a + b, "+", e, n, init=0)),
+        "unknown algorithm": (ValueError, lambda: g.accumulate("+", e, init=0, alg="magic")),
+        "unknown operation": (ValueError, lambda: g.reduce("?", e, init=0)),
+    }
+    rows = []
+    for name, (kind, call) in sorted(cases.items()):
+        try:
+            call()
+            rows.append((name, False))
+        except kind:
+            rows.append((name, True))
+    return spark.createDataFrame(rows, "name string, raised boolean")
+
+
 def flagship(spark, d):
     """Order values by customer, their running total, and where it passes even steps."""
     df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"), _cents("o_totalprice").alias("v"))
