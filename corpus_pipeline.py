@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontamination, packing, quality, simhash, substrings
-from gridloom.llm.common import held_out, quoted, saved, shielded, table
+from gridloom.llm.common import held_out, saved, shielded, spread, table
+from gridloom.plans.scratch import TABLES, released
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a 5-word shingle Jaccard of 0.8 or more."""
-    return simhash.representatives(docs).select(*quoted(docs.columns))
+    return simhash.representatives(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +59,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. A stage's own tables, and those of the stage before, are deleted once it is written."""
+    before = frozenset(TABLES)
+    docs = spread(table(spark, sf_dir, "documents"), "doc_id")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), "snappy")
+        released(spark, before, (docs,))
     return docs
