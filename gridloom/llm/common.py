@@ -34,6 +34,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The table in as many partitions as tasks run at once, if it has fewer: a small file is read in one piece."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= tasks else df.repartition(tasks, key)
+
+
 def saved(df: DataFrame, compression: str = "zstd") -> DataFrame:
     """Write to shared scratch space and read it back: cuts lineage and survives lost executors.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, runs, saved, shielded, table, texts
+from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, runs, saved, shielded, spread, table, texts
 from gridloom.plans.scratch import dropped
 
 ADDED = ["n_words", "n_hit", "spans", "items", "contaminated"]
@@ -215,7 +215,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, held_out, others, quoted, saved, table, texts
+from gridloom.llm.common import chunks, held_out, others, quoted, saved, spread, table, texts
 from gridloom.plans.scratch import dropped
 
 ADDED = ["lang_pred", "score", "rejected"]
@@ -157,6 +157,6 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
     model = fit(docs.where(~held_out()))
     return identify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import chunks, saved, table
+from gridloom.llm.common import chunks, saved, spread, table
 from gridloom.plans.scratch import dropped
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, offset long, fill long"
@@ -224,4 +224,4 @@ def pack(docs: DataFrame, id: str = "doc_id", text: str = "text", capacity: int
 
 
 def query(spark, sf_dir):
-    return pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pack(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rolling, Words, chunks, held_out, others, quoted, table, texts
+from gridloom.llm.common import Rolling, Words, chunks, held_out, others, quoted, spread, table, texts
 
 ADDED = ["score", "predicted"]
 
@@ -239,6 +239,6 @@ def classify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     model = fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
     return classify(docs, model, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rolling, Words, chunks, mix64, runs, saved, shielded, table, texts
+from gridloom.llm.common import Rolling, Words, chunks, mix64, runs, saved, shielded, spread, table, texts
 from gridloom.llm.graph import components
 from gridloom.plans.scratch import dropped
 
@@ -455,6 +455,6 @@ def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = near_duplicates(docs, shingle=4, distance=4, blocks=7)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
