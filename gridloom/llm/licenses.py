@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, sliding_min, table, texts
+from gridloom.llm.common import NOT_ALNUM, Rolling, Words, chunks, others, quoted, sliding_min, spread, table, texts
 
 ADDED = ["licenses"]
 MATCH = "array<struct<template:string,matched:int,coverage:double,start:int,stop:int,spans:array<struct<start:int,stop:int>>>>"
@@ -273,6 +273,7 @@ def scan(docs: DataFrame, text: str = "text", templates: dict[str, str] | None =
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = scan(docs, keep=["doc_id"]).select("doc_id", F.explode("licenses").alias("m"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    # a plain explode would have the optimiser filter by the scan's result first, and so scan twice
+    hits = scan(docs, keep=["doc_id"]).select("doc_id", F.explode_outer("licenses").alias("m")).where("m IS NOT NULL")
     return hits.select("doc_id", "m.template", "m.matched", "m.coverage", "m.start", "m.stop")
