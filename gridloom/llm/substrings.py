@@ -9,7 +9,7 @@ super-k-mer. A word is removed if a window over it also starts in a document wit
 2. The first occurrence of each key travels as one packed string to the minimiser's bucket, unless it would be alone
    there: a bucket of one string has nothing to count. There its windows are sorted, and the first of a run of equal
    windows has the smallest id. A minimiser whose strings have over `heavy` windows is split: its windows travel one by
-   one, dealt by their own hash and sorted outside Python, so a bucket's memory is bounded.
+   one, equal ones of a batch combined, dealt by their own hash and sorted outside Python, so a bucket's memory is bounded.
 3. An occurrence of a super-k-mer in a later document than its first loses all its words; in the first
    document it loses the windows that its bucket found. Hot keys are left to AQE's skew join.
 
@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import NULL_ID, Rolling, Words, chunks, others, quoted, runs, saved, sliding_min, table, texts
+from gridloom.llm.common import NULL_ID, Rolling, Words, chunks, others, quoted, runs, saved, sliding_min, spread, table, texts
 
 ADDED = ["n_words", "n_removed", "removed", "kept_text"]
 #: Windows of a super-k-mer at most, so that a packed string has a bounded length. A longer run is cut.
@@ -74,12 +74,16 @@ def superkmers(docs: DataFrame, id: str, text: str, window: int, gram: int) -> D
 
 
 def _packed(batches, window: int):
-    """Texts with wanted super-k-mers to packed strings; those of heavy minimisers window by window."""
+    """Texts with wanted super-k-mers to packed strings; those of heavy minimisers window by window.
+
+    Of equal windows in the texts at hand only those with the smallest id travel; others are known to be later (`heavy`
+    is null), so a passage in a third of all documents doesn't meet in one bucket as often as there are documents.
+    """
     names = ["bucket", "heavy", "dig", "low", "id", "first", "packed"]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for part in chunks(batches, "text"):
-        words, rows = Words(texts(part)), []
-        data = words.bytes
+        words, rows, single = Words(texts(part)), [], []
+        data, least = words.bytes, {}
         for d, (doc, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
             for w in wanted:
                 a = int(words.first[d]) + w["start"]
@@ -88,7 +92,13 @@ def _packed(batches, window: int):
                     continue
                 for i in range(w["n"]):
                     one = data[words.begin[a + i] : words.end[a + i + window - 1]]
-                    rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, w["dig"], w["low"], doc, i, one))
+                    least[one] = min(doc, least.get(one, doc))
+                    single.append((one, doc, w["dig"], w["low"], i))
+        for one, doc, dig, low, i in single:
+            if doc > least[one]:
+                rows.append((dig, None, dig, low, doc, i, None))
+            else:
+                rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, dig, low, doc, i, one))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], names)
 
@@ -123,6 +133,9 @@ def _counted(batches, window: int):
 
     for batch in batches:
         for b, heavy, dig, low, doc, first, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if heavy is None:
+                found.append((dig, low, first))
+                continue
             if heavy:  # sorted by words and id: the first of equal windows has the smallest id
                 if packed != before:
                     before, least = packed, doc
@@ -207,7 +220,7 @@ def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", wi
 
 
 def query(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     found = dedup_substrings(docs, keep=["doc_id"])
     words = F.array_remove(F.split(F.coalesce("kept_text", F.lit("")), "[\\x20\\x09-\\x0D]+"), "")
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.array_join(words, " "), 256).alias("kept_sha256"))
