@@ -618,6 +618,30 @@ def errors_raised(spark, d):
     return spark.createDataFrame(rows, "name string, raised boolean")
 
 
+def _prices(spark, d):
+    df = _table(spark, d, "lineitem")
+    rows = g.from_rows(df, "l_extendedprice", "float64")
+    return g.DArray(rows.df.select("i", F.round(F.col("v") * 100).cast("bigint").alias("v")), shape=(df.count(),))
+
+
+_BY_PRICE = "(SELECT CAST(round(l_extendedprice * 100) AS BIGINT) AS v FROM lineitem)"
+
+
+@query(f"SELECT row_number() OVER (ORDER BY v) AS i, v FROM {_BY_PRICE}")
+def sort_prices(spark, d):
+    return g.sort(_prices(spark, d)).df
+
+
+@query(f"SELECT row_number() OVER (ORDER BY v) AS i, CAST(sum(v) OVER (ORDER BY v ROWS UNBOUNDED PRECEDING) AS BIGINT) AS v FROM {_BY_PRICE}")
+def cumsum_sorted_prices(spark, d):
+    return g.cumsum(g.sort(_prices(spark, d))).df
+
+
+@query(f"SELECT CAST(bit_xor(v) AS BIGINT) AS v FROM {_BY_PRICE}")
+def reduce_prices(spark, d):
+    return g.reduce("xor", _prices(spark, d), init=0).df
+
+
 def flagship(spark, d):
     """Order values by customer, their running total, and where it passes even steps."""
     df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"), _cents("o_totalprice").alias("v"))
