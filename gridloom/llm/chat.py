@@ -8,14 +8,16 @@ history allowance and they fit `budget`; a turn too long for any window has one
 windows repeat the system turn and as many of the turns before as fit `history`; repeated turns are marked
 `<|again|>` and are not under the loss mask, so each assistant text is learned once.
 
-No task holds a conversation, however long. Turns are range-partitioned and written once with their partition
-number; only the first conversation of a partition can go on from the one before, so the places and prefix sums that it
-starts with are one row for each partition. A new window starts at every `block`th turn, so windows are chosen within
-blocks of that many turns, whose texts never travel together; a window's texts are collected for each window alone.
+No task holds a conversation, however long. Windows are chosen from turns without their texts: those are
+range-partitioned and written once with their partition number; only the first conversation of a partition can go on from
+the one before, so the places and prefix sums that it starts with are one row for each partition. A new window starts at
+every `block`th turn, so windows are chosen within blocks of that many turns. Texts then join their turns and are collected
+for each window alone.
 
-Defined results: null roles and texts are empty. Turns are ordered by turn and the MD5 of role, line end and text, so ties
+Defined results: null roles and texts are empty. Turns are ordered by turn and the MD5 of the role's length and both texts, so ties
 and repeated rows have a fixed order and all count; null turns come first. Rows with a null conversation id are
-one conversation. A turn has at least one token. Only the named columns are read.
+one conversation. A turn has at least one token; rows that are alike but for given token counts have the largest. Only the
+named columns are read.
 """
 
 from __future__ import annotations
@@ -40,29 +42,39 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"<~(~*)\|", r"<$1|")
 
 
+def _body(role: Column, text: Column) -> Column:
+    return F.concat(escaped(role), F.lit(SAYS), escaped(text), F.lit(END))
+
+
 def native_tokens(role: Column, text: Column) -> Column:
     """Tokens of both by `TOKEN`, and four for the marks."""
     return F.regexp_count(text, F.lit(TOKEN)).cast("long") + F.regexp_count(role, F.lit(TOKEN)).cast("long") + 4
 
 
-def placed(turns: DataFrame) -> DataFrame:
-    """Rows `(ck, conv, turn, role, text, tokens, ...)` with `i`, the place in the conversation, and `upto`, tokens up to and with it."""
-    tie = F.md5(F.concat_ws("\n", "role", "text").cast("binary"))
-    laid = turns.withColumn("tie", tie).repartitionByRange("ck", "turn", "tie").sortWithinPartitions("ck", "turn", "tie")
+def placed(turns: DataFrame) -> tuple[DataFrame, bool]:
+    """Different turns `(ck, tk, tie, turn, tokens, copies, sys_text)` to a row for each copy with `i`, its place in the
+    conversation, and `upto`, tokens up to and with it; and whether any has copies."""
+    laid = turns.repartitionByRange("ck", "turn", "tie").sortWithinPartitions("ck", "turn", "tie")
     laid = saved(laid.withColumn("part", F.spark_partition_id()))
-    totals = laid.groupBy("part", "ck").agg(F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    several = not laid.where("copies > 1").isEmpty()
+    all_tokens = F.col("copies") * F.col("tokens")
+    totals = laid.groupBy("part", "ck").agg(F.sum("copies").alias("n"), F.sum(all_tokens).alias("t"))
     before = Window.partitionBy("ck").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select("part", "ck", F.sum("n").over(before).alias("n_before"), F.sum("t").over(before).alias("t_before")).where("n_before > 0")
-    own = Window.partitionBy("part", "ck").orderBy("turn", "tie")
-    rows = laid.withColumn("i", F.row_number().over(own) - 1).withColumn("upto", F.sum("tokens").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    own = Window.partitionBy("part", "ck").orderBy("turn", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    rows = laid.withColumn("i", F.sum("copies").over(own) - F.col("copies")).withColumn("upto", F.sum(all_tokens).over(own) - all_tokens)
     # at most one row for each partition
     rows = rows.join(F.broadcast(carry), ["part", "ck"], "left")
-    return rows.withColumn("i", F.col("i") + F.coalesce("n_before", F.lit(0))).withColumn("upto", F.col("upto") + F.coalesce("t_before", F.lit(0))).drop("part", "tie", "n_before", "t_before")
+    copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)) if several else F.lit(0).cast("long")
+    rows = rows.select("*", copy.alias("copy"))
+    place = F.col("i") + F.coalesce("n_before", F.lit(0)) + F.col("copy")
+    upto = F.col("upto") + F.coalesce("t_before", F.lit(0)) + (F.col("copy") + 1) * F.col("tokens")
+    return rows.select("ck", "tk", "tie", "tokens", "sys_text", place.alias("i"), upto.alias("upto")), several
 
 
 def chosen_windows(rows: DataFrame, budget: int, history: int, system: str, block: int) -> DataFrame:
     """`(ck, block, cuts, first_window, sys_body, sys_tokens)`: first turns of the windows of a block, with tokens before each."""
-    first = rows.where((F.col("i") == 0) & (F.col("role") == system)).select("ck", F.col("body").alias("sys_body"), F.col("tokens").alias("sys_tokens"))
+    first = rows.where((F.col("i") == 0) & F.col("sys_text").isNotNull()).select("ck", _body(F.lit(system), F.col("sys_text")).alias("sys_body"), F.col("tokens").alias("sys_tokens"))
     numbers = F.array_sort(F.collect_list(F.struct("i", "tokens", "upto")))
     blocks = rows.groupBy("ck", F.floor(F.col("i") / block).alias("block")).agg(numbers.alias("turns")).join(first, "ck", "left")
     cut = lambda t: F.struct(t["i"].alias("i"), (t["upto"] - t["tokens"]).alias("before"))
@@ -98,19 +110,22 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """
     if budget <= 0 or history < 0 or block <= 0:
         raise ValueError("budget and block must be positive and history not negative")
-    count = F.col(f"`{tokens}`").cast("long") if isinstance(tokens, str) else tokens(F.col("role"), F.col("text")).cast("long")
-    key = F.coalesce(F.concat(F.lit("="), F.col(f"`{conv}`").cast("string")), F.lit(""))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))
     blank = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
-    held = [F.col(f"`{conv}`").alias("conv"), key.alias("ck"), F.col(f"`{turn}`").alias("turn"), blank(role).alias("role"), blank(text).alias("text")]
-    rows = turns.select(*held, *([count.alias("tokens")] if isinstance(tokens, str) else []))
-    rows = placed(rows.withColumn("tokens", F.greatest(F.col("tokens") if isinstance(tokens, str) else count, F.lit(1))))
-    e_role = escaped(F.col("role"))
-    rows = rows.select("ck", "conv", "i", "tokens", "upto", "role", F.concat(e_role, F.lit(SAYS), escaped(F.col("text")), F.lit(END)).alias("body"), (F.length(e_role) + len(SAYS)).alias("text_at"))
+    given = [F.col(f"`{tokens}`").cast("long").alias("tokens")] if isinstance(tokens, str) else []
+    wide = turns.select(F.col(f"`{conv}`").alias("conv"), key(conv).alias("ck"), F.col(f"`{turn}`").alias("turn"), key(turn).alias("tk"), blank(role).alias("role"), blank(text).alias("text"), *given)
+    wide = wide.withColumn("tie", F.md5(F.concat(F.length("role").cast("string"), F.lit(":"), F.col("role"), F.col("text")).cast("binary")))
+    count = F.col("tokens") if given else tokens(F.col("role"), F.col("text")).cast("long")
+    system_text = F.max(F.when(F.col("role") == system, F.col("text")))
+    narrow = wide.groupBy("ck", "tk", "tie").agg(F.min("turn").alias("turn"), F.greatest(F.max(count), F.lit(1)).alias("tokens"), F.count("*").alias("copies"), system_text.alias("sys_text"))
+    rows, several = placed(narrow)
     windows = chosen_windows(rows, budget, history, system, block)
+    texts = wide.select("ck", "tk", "tie", "conv", "role", "text")
+    texts = texts.dropDuplicates(["ck", "tk", "tie"]) if several else texts
     own = F.floor(F.col("i") / block)
     # the last turns of a block are history for the next; a turn has a token at least, so no others are
     near = (F.col("i") % block >= block - history) if history else F.lit(False)
-    rows = rows.select("*", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))).alias("block")).join(windows, ["ck", "block"])
+    rows = rows.drop("sys_text").select("*", F.explode(F.when(near, F.array(own, own + 1)).otherwise(F.array(own))).alias("block")).join(windows, ["ck", "block"])
     has_system, before = F.col("sys_tokens").isNotNull(), F.col("upto") - F.col("tokens")
     begun = F.size(F.filter("cuts", lambda c: c["i"] <= F.col("i")))
     place = lambda n, kind: F.struct(n.cast("int").alias("n"), F.lit(kind).alias("kind"))
@@ -121,14 +136,16 @@ def format_chats(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     numbered = F.transform("cuts", lambda c, n: F.struct(n.alias("n"), c["i"].alias("i"), c["before"].alias("before")))
     later = F.filter(numbered, lambda c: (c["i"] > F.col("i")) & (c["before"] - before <= history) & ~(has_system & (F.col("i") == 0)))
     old = F.transform(later, lambda c: place(c["n"], 1))
-    rows = rows.select("*", F.explode(F.concat(first, old, new)).alias("to"))
+    rows = rows.select("ck", "tk", "tie", "i", "tokens", "first_window", "sys_body", "sys_tokens", F.concat(first, old, new).alias("to")).where(F.size("to") > 0)
+    rows = rows.join(texts, ["ck", "tk", "tie"]).withColumn("body", _body(F.col("role"), F.col("text"))).withColumn("text_at", F.length(escaped(F.col("role"))) + len(SAYS))
+    rows = rows.select("*", F.explode("to").alias("one")).drop("to").withColumnRenamed("one", "to")
     is_system = F.col("to.kind") == 0
     member = F.struct(
         F.when(is_system, F.lit(0)).otherwise(F.col("i")).alias("i"), F.col("to.kind").alias("kind"), F.when(is_system, F.col("sys_body")).otherwise(F.col("body")).alias("body"),
         F.when(is_system, F.col("sys_tokens")).otherwise(F.col("tokens")).alias("tokens"), F.col("text_at"), ((F.col("to.kind") == 2) & (F.col("role") == learned)).alias("learned"),
     )
     number = F.col("first_window") + F.col("to.n")
-    grouped = rows.groupBy("ck", "block", number.alias("window")).agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(member)).alias("turns"))
+    grouped = rows.groupBy("ck", number.alias("window")).agg(F.first("conv").alias("conv"), F.array_sort(F.collect_list(member)).alias("turns"))
     mark = lambda t: F.when(t["kind"] == 2, F.lit(NEW)).otherwise(F.lit(AGAIN))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
@@ -154,13 +171,14 @@ def query(spark, sf_dir):
     chats = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
     out = format_chats(chats.unionByName(hostile))
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), s["start"] + 1, s["length"])))
-    read = out.select("conv_id", F.struct("window", read_turns(F.col("formatted")).alias("turns"), loss.alias("loss"), F.length("formatted").cast("long").alias("chars")).alias("w"))
-    read = read.groupBy("conv_id").agg(F.array_sort(F.collect_list("w")).alias("w"))
-    turns, texts = F.flatten("w.turns"), F.array_join(F.flatten("w.loss"), "")
+    read = out.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "formatted", "loss_spans"))).alias("w"))
+    turns = F.flatten(F.transform("w", lambda w: read_turns(w["formatted"])))
+    masked = F.flatten(F.transform("w", lambda w: F.transform(w["loss_spans"], lambda s: unescaped(F.substring(w["formatted"], s["start"] + 1, s["length"])))))
+    chars = F.aggregate("w", F.lit(0).cast("long"), lambda a, w: a + F.length(w["formatted"]))
+    read = read.select("conv_id", turns.alias("turns"), F.array_join(masked, "").alias("loss"), chars.alias("formatted_chars"))
+    turns, texts = F.col("turns"), F.col("loss")
     digest = F.sha2(F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
-    return read.select("conv_id", F.size(turns).cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length(texts).cast("long").alias("loss_chars"), F.sha2(texts, 256).alias("loss_sha256"), F.aggregate("w.chars", F.lit(0).cast("long"), lambda a, b: a + b).alias("formatted_chars"))
-
+    return read.select("conv_id", F.size(turns).cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length(texts).cast("long").alias("loss_chars"), F.sha2(texts, 256).alias("loss_sha256"), "formatted_chars")
 
 
 def _count(column: str) -> str:
@@ -175,7 +193,7 @@ WITH RECURSIVE c AS (
   SELECT *, row_number() OVER o - 1 AS i, sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS upto FROM (
     SELECT *, CAST({_count("text")} + {_count("role")} + 4 AS BIGINT) AS tokens,
       length(regexp_replace(role, '<(~*)\|', '<~\1|', 'g')) + length(regexp_replace(text, '<(~*)\|', '<~\1|', 'g')) + 15 AS chars FROM c)
-  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(role || chr(10) || text))
+  WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text))
 ), s AS (SELECT conv_id, max(CASE WHEN i = 0 AND role = 'system' THEN tokens ELSE 0 END) AS sys FROM t GROUP BY conv_id),
 r AS (
   SELECT t.conv_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS win, CAST(CASE WHEN sys > 0 THEN 0 ELSE tokens END AS BIGINT) AS used FROM t JOIN s ON s.conv_id = t.conv_id WHERE t.i = 0
