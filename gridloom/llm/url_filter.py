@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One of these is enough.
@@ -55,15 +55,17 @@ RULES = (
 )
 
 ADDED = ["host", "path", "rule", "n_strict", "n_soft", "verdict"]
-JUDGED = "host string, path string, rule string, n_strict int, n_soft int, verdict string"
+JUDGED = "rule string, n_strict int, n_soft int, verdict string"
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    at = -1 if url is None else url.find("://")
-    if at < 0:
-        return "", ""
-    host, path = re.match(r"([^/?#]*)([^?#]*)", url[at + 3 :]).groups()
-    return host.encode().lower().decode(), path
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host and path of a URL, empty without `://`."""
+    at = F.coalesce(F.instr(url, "://"), F.lit(0))
+    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
+    return F.translate(F.regexp_extract(rest, "^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)
 
 
 class RuleSet:
@@ -130,20 +132,22 @@ def filter_urls(pages: DataFrame, url: str = "url", vocabulary: DataFrame | Iter
     terms, rules = pages.sparkSession.sparkContext.broadcast(term_table(vocabulary, most_terms)), tuple(rules)
 
     @F.pandas_udf(JUDGED)
-    def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         ruled, words = RuleSet(rules), Vocabulary(terms.value)
-        for urls in batches:
+        for batch in batches:
             out = []
-            for u in urls:
-                host, path = split_url(u)
+            for u, host, path in zip(*batch, strict=True):
                 rule, verdict = ruled.longest(host, path)
                 n_strict, n_soft, weight = words.hits(u)
-                out.append((host, path, rule, n_strict, n_soft, verdict or ("block" if n_strict or (n_soft >= 2 and weight >= soft_limit) else "allow")))
-            yield pd.DataFrame(out, columns=ADDED)
-
-    names = [f.name for f in pages.schema if f.name.lower() not in ADDED]
-    inner = pages.select(*[F.col(f"`{n}`") for n in names], judged(F.col(f"`{url}`")).alias("_judged"))
-    return inner.select(*[F.col(f"`{n}`") for n in names], "_judged.*")
+                out.append((rule, n_strict, n_soft, verdict or ("block" if n_strict or (n_soft >= 2 and weight >= soft_limit) else "allow")))
+            yield pd.DataFrame(out, columns=ADDED[2:])
+
+    names = [F.col(f"`{f.name}`") for f in pages.schema if f.name.lower() not in ADDED]
+    address = F.col(f"`{url}`").cast("string")
+    host, path = host_and_path(address)
+    own = "_" + "_".join(pages.columns)  # no column has this name
+    inner = pages.select(*names, host.alias("host"), path.alias("path"), judged(address, host, path).alias(own))
+    return inner.select(*names, "host", "path", F.col(f"`{own}`.*"))
 
 
 def query(spark, sf_dir):

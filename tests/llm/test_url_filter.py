@@ -1,12 +1,12 @@
 import pytest
 
-from gridloom.llm.url_filter import RULES, SOFT, STRICT, VOCABULARY, RuleSet, Vocabulary, filter_urls, split_url, term_table
+from gridloom.llm.url_filter import RULES, SOFT, STRICT, VOCABULARY, RuleSet, Vocabulary, filter_urls, host_and_path, term_table
 
 
-def test_split():
-    assert split_url("HTTP://A.Example.COM/En/x?y#z") == ("a.example.com", "/En/x")
-    assert split_url("x://h?q://r/") == ("h", "") and split_url("no-scheme/path") == ("", "") == split_url(None)
-    assert split_url("a://ÀB#f") == ("Àb", "")
+def test_split(spark):
+    want = {"HTTP://A.Example.COM/En/x?y#z": ("a.example.com", "/En/x"), "x://h?q://r/": ("h", ""), "no-scheme/path": ("", ""), "a://ÀB#f": ("Àb", ""), "x://": ("", ""), "x://a\nb/c\nd?": ("a\nb", "/c\nd"), None: ("", "")}
+    urls = spark.createDataFrame([(u,) for u in want], "url string")
+    assert {r[0]: (r[1], r[2]) for r in urls.select("url", *host_and_path(urls["url"])).collect()} == want
 
 
 def test_rules_against_a_plain_search():
