@@ -78,14 +78,14 @@ def benchmark_windows(benchmark: DataFrame, item: str, text: str, window: int, s
 def hash_bits(hashes: DataFrame, n: int, most: int) -> np.ndarray:
     """A table of `2**b` bits, at most `2**most`, with a bit set for every value of the column `hash`.
 
-    It comes to the driver as one row for each byte that isn't zero.
+    It comes to the driver as one row for each 64 bits that aren't all zero.
     """
     b = min(most, max(13, int(32 * n).bit_length()))
     low = F.col("hash").bitwiseAND((1 << b) - 1)
-    got = hashes.groupBy(F.shiftright(low, 3).alias("at")).agg(F.bit_or(F.expr("shiftleft(1, cast(hash & 7 as int))")).alias("v")).toArrow()
-    out = np.zeros(1 << (b - 3), dtype=np.uint8)
+    got = hashes.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(hash & 63 as int))")).alias("v")).toArrow()
+    out = np.zeros(1 << (b - 6), dtype="<i8")
     out[got.column("at").to_numpy()] = got.column("v").to_numpy()
-    return out
+    return out.view(np.uint8)
 
 
 def among(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
