@@ -642,6 +642,50 @@ def reduce_prices(spark, d):
     return g.reduce("xor", _prices(spark, d), init=0).df
 
 
+@query(_E + "SELECT i1, i2, i3, v + 10 AS v FROM e")
+def reduce_along_no_axis(spark, d):
+    return g.reduce("+", _scaled(spark, d), init=10, dims=9).df
+
+
+@query(_E + "SELECT i1, i2, i3, v FROM e")
+def accumulate_along_no_axis(spark, d):
+    return g.accumulate("+", _scaled(spark, d), init=10, dims=9).df
+
+
+@query("SELECT CAST(1 AS BIGINT) AS i1, CAST(1 AS BIGINT) AS i2, CAST(0 AS BIGINT) AS v FROM events WHERE event_id < 0")
+def reduce_with_an_empty_kept_axis(spark, d):
+    none = _events(spark, d).df.where("v < 0").select(F.col("i").alias("i1"), F.col("i").alias("i2"), "v")
+    return g.reduce("+", g.DArray(none, ("i1", "i2"), "v", (3, 0)), init=7, dims=1).df
+
+
+@query(f"SELECT bool_or(isnan({_HOLED})) AS low, bool_or(isnan({_HOLED})) AS high FROM events")
+def bounds_with_nan(spark, d):
+    a = _holed(spark, d)
+    low, high = g.minimum(a).get(), g.maximum(a).get()
+    return spark.range(1).select(F.isnan(F.lit(low)).alias("low"), F.isnan(F.lit(high)).alias("high"))
+
+
+@query("SELECT false AS some, true AS every, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS total, CAST(1 AS BIGINT) AS product")
+def results_of_nothing(spark, d):
+    e = _events(spark, d)
+    a = g.DArray(e.df.where("v < 0"), ("i",), "v", (0,))
+    some, every = g.any(lambda v: v > 0, a).get(), g.all(lambda v: v > 0, a).get()
+    return spark.range(1).select(F.lit(some).alias("some"), F.lit(every).alias("every"), *[F.lit(x.get()).cast("bigint").alias(n) for n, x in (("n", g.count(a, lambda v: v > 0)), ("total", g.sum(a)), ("product", g.prod(a)))])
+
+
+@query(f"SELECT e.event_id + 1 AS i, coalesce(max(k.n), 0) AS v FROM events e LEFT JOIN {_KEYS} k ON k.k <= e.user_id GROUP BY e.event_id")
+def searchsortedlast_into(spark, d):
+    e = _events(spark, d)
+    return g.searchsortedlast_(e, _haystack(spark, d), e).df
+
+
+@query("SELECT row_number() OVER (ORDER BY o_custkey DESC, o_orderkey) AS i, o_custkey AS k, o_orderpriority AS v FROM orders")
+def sort_by_key_in_place(spark, d):
+    df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"), F.col("o_orderpriority").alias("v"))
+    n = (df.count(),)
+    return g.merge_sort_by_key_(g.DArray(df, value="k", shape=n), g.DArray(df, value="v", shape=n), rev=True)[1].df
+
+
 def flagship(spark, d):
     """Order values by customer, their running total, and where it passes even steps."""
     df = _table(spark, d, "orders").select(F.col("o_orderkey").alias("i"), F.col("o_custkey").alias("k"), _cents("o_totalprice").alias("v"))
