@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import Rolling, Words, chunks, held_out, others, quoted, spread, table, texts
+from gridloom.llm.common import CHUNK_BYTES, Rolling, Words, chunks, held_out, others, quoted, spread, table, texts
 
 ADDED = ["score", "predicted"]
 
@@ -160,10 +160,23 @@ def reestimated(y: np.ndarray, good: np.ndarray, size: np.ndarray, first: np.nda
     return out
 
 
+def features_of(documents: list[bytes], limit: int = CHUNK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`line_features` of any number of texts, some at a time, since it needs many times the texts' bytes."""
+    parts, start, size = [], 0, 0
+    for k, d in enumerate(documents, 1):
+        size += len(d)
+        if size >= limit or k == len(documents):
+            parts.append(line_features(documents[start:k]))
+            start, size = k, 0
+    ends = np.cumsum([p[2][-1] for p in parts])
+    first = np.concatenate([[0], *[p[2][1:] + end - p[2][-1] for p, end in zip(parts, ends, strict=True)]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), first
+
+
 def fit_chain(documents: list[bytes], labels: np.ndarray, rounds: int = 150, sure: float = 0.8) -> Model:
     """A chain fitted to documents of known labels, whose lines' labels are estimated."""
     joined = spliced(documents, labels)
-    features, size, first = line_features([*documents, *[d for d, _ in joined]])
+    features, size, first = features_of([*documents, *[d for d, _ in joined]])
     n = int(first[len(documents)])
     y = np.concatenate([np.repeat(labels.astype(float), np.diff(first[: len(documents) + 1])), *[x for _, x in joined]])
     chains, values = Chains(first), np.zeros(features.shape[1] + 4)

@@ -81,6 +81,13 @@ def test_quality_on_held_out_rows(spark):
     assert len(rows) > 80 and np.mean(right) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_features_in_pieces():
+    documents = [b"", b"one\ntwo", b"a b a b\n\nX!! Y", b"line\nline\nline", "é ü\n".encode() * 9]
+    whole = quality.line_features(documents)
+    for limit in (1, 10, 1 << 20):
+        assert all(np.array_equal(a, b) for a, b in zip(quality.features_of(documents, limit), whole, strict=True))
+
+
 def test_marginals_against_enumeration():
     rng = np.random.default_rng(1)
     sizes = [1, 4, 2, 6, 1]
