@@ -76,29 +76,30 @@ def superkmers(docs: DataFrame, id: str, text: str, window: int, gram: int) -> D
 def _packed(batches, window: int):
     """Texts with wanted super-k-mers to packed strings; those of heavy minimisers window by window.
 
-    Of equal windows in the texts at hand only those with the smallest id travel; others are known to be later (`heavy`
-    is null), so a passage in a third of all documents doesn't meet in one bucket as often as there are documents.
+    Equal windows of a super-k-mer travel as one, with their places. Of equal windows in the texts at hand only those with
+    the smallest id travel; others are known to be later (`heavy` is null), so a passage in a third of all documents
+    doesn't meet in one bucket as often as there are documents.
     """
-    names = ["bucket", "heavy", "dig", "low", "id", "first", "packed"]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["bucket", "heavy", "dig", "low", "id", "places", "packed"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary()]
     for part in chunks(batches, "text"):
-        words, rows, single = Words(texts(part)), [], []
+        words, rows, single = Words(texts(part)), [], {}
         data, least = words.bytes, {}
         for d, (doc, wanted) in enumerate(zip(part.column(0).to_pylist(), part.column(2).to_pylist(), strict=True)):
             for w in wanted:
                 a = int(words.first[d]) + w["start"]
                 if not w["heavy"]:
-                    rows.append((w["mini"], False, w["dig"], w["low"], doc, 0, data[words.begin[a] : words.end[a + w["n"] + window - 2]]))
+                    rows.append((w["mini"], False, w["dig"], w["low"], doc, [], data[words.begin[a] : words.end[a + w["n"] + window - 2]]))
                     continue
                 for i in range(w["n"]):
                     one = data[words.begin[a + i] : words.end[a + i + window - 1]]
                     least[one] = min(doc, least.get(one, doc))
-                    single.append((one, doc, w["dig"], w["low"], i))
-        for one, doc, dig, low, i in single:
+                    single.setdefault((one, doc, w["dig"], w["low"]), []).append(i)
+        for (one, doc, dig, low), places in single.items():
             if doc > least[one]:
-                rows.append((dig, None, dig, low, doc, i, None))
+                rows.append((dig, None, dig, low, doc, places, None))
             else:
-                rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, dig, low, doc, i, one))
+                rows.append((xxhash.xxh3_64_intdigest(one) - (1 << 63), True, dig, low, doc, places, one))
         for at in range(0, len(rows), 5000):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 5000], strict=True), kinds, strict=True)], names)
 
@@ -132,15 +133,15 @@ def _counted(batches, window: int):
         found.clear()
 
     for batch in batches:
-        for b, heavy, dig, low, doc, first, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+        for b, heavy, dig, low, doc, places, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if heavy is None:
-                found.append((dig, low, first))
+                found += [(dig, low, i) for i in places]
                 continue
             if heavy:  # sorted by words and id: the first of equal windows has the smallest id
                 if packed != before:
                     before, least = packed, doc
                 elif doc > least:
-                    found.append((dig, low, first))
+                    found += [(dig, low, i) for i in places]
                 continue
             if b != bucket:
                 found += _later_windows(group, window) if len(group) > 1 else []
@@ -158,13 +159,13 @@ def _firsts(occurrences: DataFrame, docs: DataFrame, id: str, text: str, window:
     wanted = keys.join(shared, "mini").select("own.id", "own.text_key", F.struct("mini", "dig", "low", "own.start", "own.n", (F.col("all") > heavy).alias("heavy")).alias("w"))
     wanted = wanted.groupBy("id", "text_key").agg(F.collect_list("w").alias("wanted"))
     held = docs.where(F.col(f"`{text}`").isNotNull()).select(*_named(docs, id, text)).join(wanted, ["id", "text_key"]).select("id", "text", "wanted")
-    packed = held.mapInArrow(lambda b: _packed(b, window), "bucket long, heavy boolean, dig long, low long, id long, first int, packed binary")
+    packed = held.mapInArrow(lambda b: _packed(b, window), "bucket long, heavy boolean, dig long, low long, id long, places array<int>, packed binary")
     dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "packed", "id")
     later = dealt.mapInArrow(lambda b: _counted(b, window), "dig long, low long, at int").groupBy("dig", "low").agg(F.collect_set("at").alias("windows"))
     return keys.join(later, ["dig", "low"], "left").where("last > own.id OR windows IS NOT NULL").select("dig", "low", F.col("own.id").alias("first"), "windows")
 
 
-def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 8, heavy: int = 50_000, keep: list[str] | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = 50, gram: int = 8, heavy: int = 20_000, keep: list[str] | None = None) -> DataFrame:
     """All rows, of them the columns `keep` or else all, with `n_words`, `n_removed`, `removed` (word ranges) and `kept_text` (null for null)."""
     if not 1 <= gram <= window:
         raise ValueError("need 1 <= gram <= window")
