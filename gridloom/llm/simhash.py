@@ -12,7 +12,8 @@ star contraction.
 
 A task never holds more than `most` fingerprints of a key. A key that has more passes them on, and the bits that
 they don't share yet are split into blocks in the same way: close pairs agree on some choice of these too. Every level
-fixes at least three in seven of the bits left, so after a few levels a key can't have more different fingerprints.
+fixes at least three in seven of the bits left, so after a few levels a key can't have more different fingerprints. Each
+level makes up to 35 rows of one; over 4,096 fingerprints that differ in 37 bits alone are needed for a second level.
 
 `near_copies` is for the corpus pipeline, where texts count as near copies from a Jaccard of 0.8 of their shingle sets.
 Such pairs differ in 39 of 256 bits on average (10 of 64): blocks of which one must stay whole would be five bits wide
@@ -235,8 +236,9 @@ def shingle_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     start = np.repeat(first[:-1], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     stop = np.minimum(start + size, first[document + 1]) - 1
     hashes = Rolling(words.buffer).spans(words.begin[start], words.end[stop]) if len(start) else np.zeros(0, np.uint64)
-    order = np.lexsort((hashes, document))
-    hashes, document = hashes[order], document[order]
+    ends = np.cumsum(n)
+    for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True):
+        hashes[a:b].sort()
     new = np.ones(len(hashes), dtype=bool)
     new[1:] = (hashes[1:] != hashes[:-1]) | (document[1:] != document[:-1])
     at = np.zeros(len(first), dtype=np.int64)
@@ -279,10 +281,11 @@ def prefixes(hashes: np.ndarray, at: np.ndarray, counts: np.ndarray, part: int,
     Jaccard of `part / of` can't do without one in common. Also how many each text has."""
     size = np.diff(at)
     count = np.where(size > 0, size - -(-part * size // of) + 1, 0)
-    document = np.repeat(np.arange(len(size)), size)
-    rank = counts[(hashes >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)]
-    hashes = hashes[np.lexsort((hashes, rank, document))]
-    return hashes[np.arange(len(hashes)) - at[document] < count[document]], count
+    # one number in the order of (count of the slot, hash); a text's hashes are in order, which settles the last bits
+    rank = np.minimum(counts[(hashes >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)], (1 << 24) - 1).astype(np.uint64)
+    key = rank << np.uint64(40) | hashes >> np.uint64(24)
+    first = [hashes[a:b][np.argsort(key[a:b], kind="stable")[:c]] for a, b, c in zip(at[:-1].tolist(), at[1:].tolist(), count.tolist(), strict=True)]
+    return (np.concatenate(first) if first else hashes[:0]), count
 
 
 def signatures(docs: DataFrame, id: str, text: str, shingle: int, lanes: int, part: int, of: int, slots: int) -> DataFrame:
@@ -415,7 +418,7 @@ def verified(members: DataFrame, shingle: int, part: int, of: int, most: int, mo
     return dealt.repartition("root").sortWithinPartitions("root", "node").mapInArrow(make, "u long, v long")
 
 
-def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, cut: int = 76, few: int = 48, part: int = 4, of: int = 5, slots: int = 20, most: int = 4096, most_members: int = 2000, most_shingles: int = 500_000) -> DataFrame:
+def near_copies(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, lanes: int = 4, cut: int = 76, few: int = 48, part: int = 4, of: int = 5, slots: int = 20, most: int = 4096, most_members: int = 500, most_shingles: int = 125_000) -> DataFrame:
     """`(id, text_key, group)`: rows whose sets of shingles are linked by Jaccards of `part / of` or more share a group.
 
     Candidates come from prefixes of the sets, which no such pair escapes, and from a cut on SimHash bits that is
