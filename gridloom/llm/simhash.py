@@ -28,7 +28,6 @@ than id and text are never read; `representatives` passes them through, whatever
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -87,7 +86,6 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text", shingl
     return rows.mapInArrow(make, "id long, text_key long, fp long")
 
 
-@cache
 def pigeonhole_masks(distance: int, blocks: int, fixed: int = 0) -> tuple[int, ...]:
     """`fixed` and one choice of blocks of the other bits, for every choice that a close pair may keep whole."""
     free = [b for b in range(64) if not fixed >> b & 1]
@@ -175,12 +173,15 @@ def linked(distinct: DataFrame, distance: int, blocks: int, most: int) -> tuple[
         raise ValueError("need 0 <= distance < blocks <= 64")
 
     def keyed(batches):
+        masks: dict[int, np.ndarray] = {}
         for batch in batches:
             node, fp, fixed = (np.asarray(c) for c in batch.columns)
             fp, fixed = fp.view(np.uint64), fixed.view(np.uint64)
             for m in np.unique(fixed).tolist():
                 own = fixed == m
-                for mask in np.array(pigeonhole_masks(distance, blocks, m), dtype=np.uint64):
+                if m not in masks:
+                    masks[m] = np.array(pigeonhole_masks(distance, blocks, m), dtype=np.uint64)
+                for mask in masks[m]:
                     key = mix64((fp[own] & mask) ^ mix64(np.full(int(own.sum()), mask)))
                     yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node[own]), pa.array(fp[own].view(np.int64)), pa.array(np.full(len(key), mask).view(np.int64))], ["key", "node", "fp", "mask"])
 

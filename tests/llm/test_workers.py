@@ -8,12 +8,13 @@ import sys
 sys.path.append({repo!r})  # of the driver alone
 from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
-before = dict(r for r in spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+settings = lambda: {{r["key"]: r["value"] for r in spark.sql("SET").collect() if "warehouse" not in r["key"]}}
+before = settings()
 from gridloom.llm import registry
 from gridloom.plans.scratch import TABLES, _own_folder, released
 for name, query in registry.queries().items():
     assert query(spark, "/root/testdata/sf0.001").count() > 0 or name == "op2_license_scan", name
-assert before == (dict(r for r in spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+assert before == settings(), set(before.items()) ^ set(settings().items())
 assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
 released(spark)
 import os
