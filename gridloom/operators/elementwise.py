@@ -47,8 +47,9 @@ def foraxes(f: Callable, array: DArray, dims: int | None = None, dtype: str | No
     cell = F.struct(known.linear().alias("_at"), *rest, F.col(array.value).alias("v"))
     rows = array.df.groupBy(axis).agg(F.array_sort(F.collect_list(cell)).alias("_x"))
     made = called(f, [F.col(axis), F.col("_x.v")], f"array<{kind}>") if python else f(F.col(axis), F.col("_x.v")).cast(f"array<{kind}>")
-    rows = rows.withColumn("_y", made).select(axis, "_x", "_y", F.posexplode("_x").alias("_p", "_c"))
-    out = rows.select(*[F.col(c) if c == axis else F.col(f"_c.{c}") for c in array.index], F.col("_y")[F.col("_p")].alias("v"))
+    # side by side, so that no row carries the whole slice
+    rows = rows.withColumn("_y", made).select(axis, F.explode(F.arrays_zip("_x", "_y")).alias("_c"))
+    out = rows.select(*[F.col(c) if c == axis else F.col(f"_c._x.{c}") for c in array.index], F.col("_c._y").alias("v"))
     return DArray(out, array.index, "v", known.shape, dtype or array.dtype)
 
 

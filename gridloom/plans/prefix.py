@@ -59,9 +59,10 @@ def column_scan(df: DataFrame, keys: list[str], op: Combine, kind: str, n: int,
     while reach < min(size, n):
         rows = rows.withColumn("_s", F.transform("_s", _combined(op, kind, reach)))
         reach *= 2
-    local = rows.select(*keys, "_b", "_s", F.posexplode("_x.i").alias("_p", "i"))
-    value = F.get("_s", F.col("_p") - 1) if exclusive else F.col("_s")[F.col("_p")]
-    local = local.select(*keys, "i", "_b", value.alias("v"))
+    # side by side, so that no row carries the whole bucket
+    values = F.concat(F.array(F.lit(None).cast(kind)), F.slice("_s", F.lit(1), F.size("_s") - 1)) if exclusive else F.col("_s")
+    local = rows.select(*keys, "_b", F.col("_x.i").alias("_i"), values.alias("_v")).select(*keys, "_b", F.explode(F.arrays_zip("_i", "_v")).alias("_c"))
+    local = local.select(*keys, F.col("_c._i").alias("i"), "_b", F.col("_c._v").alias("v"))
     if n <= size:
         return local.drop("_b")
     totals = rows.select(*keys, "_b", F.element_at("_s", -1).alias("v"))
