@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom import api as g
+from gridloom.queries import QUERIES, SQL
 
 KINDS = {"int32": np.int32, "int64": np.int64, "float32": np.float32, "float64": np.float64}
 
@@ -63,6 +64,40 @@ def test_product_is_exact(spark):
     assert g.prod(array(spark, [0.5, 4.0], "float64")).get() == 2.0
 
 
+@pytest.mark.parametrize("bucket", [2, 4, 4096])
+def test_only_the_whole_product_must_fit(spark, bucket):
+    prod = lambda x, dtype="int64", init=1: g.reduce("*", array(spark, x, dtype), init=init, dtype=dtype, bucket=bucket).get()
+    assert prod([2] * 63 + [1] * 10 + [-1]) == -(2**63) == prod([-1] + [2] * 63)
+    assert prod([2] * 63, init=-1) == -(2**63) == prod([-(2**63), -1], init=-1)
+    assert prod([2**62] * 9 + [0]) == 0 == prod([0, -(2**63), -(2**63), 2**62])
+    assert prod([2] * 7 + [-1], "int8") == -(2**7)
+    for x in ([2] * 63, [97, 10**17], [-97, 10**17], [-3] * 41, [2**62] * 9 + [-1], [-(2**63), 1, -1]):
+        with pytest.raises(Exception, match="(?i)overflow"):
+            prod(x)
+    with pytest.raises(Exception, match="(?i)overflow"):
+        prod([2] * 7, "int8")
+    a = array(spark, [[2**62, 2**62, 0], [2**62, 2, -1]])
+    assert (dense(g.reduce("*", a, init=1, dims=2, bucket=bucket)) == np.array([[0], [-(2**63)]], dtype=object)).all()
+
+
+def test_prod_int_query_at_the_limit_of_a_long(spark, tmp_path):
+    import duckdb
+
+    for n in (319_998, 319_999, 600_000):  # 2**63, -2**63 by way of 2**63, 2**120
+        d = str(tmp_path / str(n))
+        spark.range(n).withColumnRenamed("id", "event_id").write.parquet(f"{d}/events.parquet")
+        sql = duckdb.connect()
+        sql.execute(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet/*.parquet'")
+        if n == 319_999:
+            want = sql.execute(SQL["prod_int"]).fetchall()
+            assert [tuple(r) for r in QUERIES["prod_int"](spark, d).collect()] == want == [(-(2**63),)]
+            continue
+        with pytest.raises(duckdb.ConversionException):
+            sql.execute(SQL["prod_int"]).fetchall()
+        with pytest.raises(Exception, match="(?i)overflow"):
+            QUERIES["prod_int"](spark, d).collect()
+
+
 def test_nan(spark):
     a = array(spark, [1.0, math.nan, -2.5], "float64")
     assert math.isnan(g.minimum(a).get()) and math.isnan(g.maximum(a).get())
